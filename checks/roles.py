@@ -76,7 +76,7 @@ def matrix(spark, sf, **options) -> DataFrame:
 
 def forecasts_wide(spark, sf) -> DataFrame:
     """Naive forecasts of four models next to the actual, on the dense axis."""
-    return X.price_features(dense(spark, sf))
+    return X.price_features(prices(spark, sf))
 
 
 def scored(spark, sf) -> DataFrame:

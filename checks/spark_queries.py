@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from checks import roles as R
 from zonecast.functions import scores as S
+from zonecast.functions.calendar import add_calendar
 from zonecast.operators import calibrate, exchange, features, metrics, monitor, pit, quality, scoring, splits, stack
 from zonecast.sources import bitemporal, bronze, dims, gold, silver
 
@@ -51,13 +52,13 @@ def rolling_stats(spark, sf):
 
 
 def calendar_features(spark, sf):
-    return out(features.add_calendar(R.dense(spark, sf)).drop("price"))
+    return out(add_calendar(R.dense(spark, sf)).drop("price"))
 
 
 def weather_ffill(spark, sf):
     cols = features.WEATHER_COLS
     filled = features.forward_fill(features.reindex_hourly(R.weather(spark, sf), cols), cols)
-    return out(filled.withColumns(features.weather_interactions(F.hour("valid_time"))))
+    return out(filled.withColumns(features.weather_interactions("hour(valid_time)")))
 
 
 def feature_matrix(spark, sf):
@@ -145,7 +146,7 @@ def retention(spark, sf):
 
 
 def _pit_inputs(spark, sf):
-    feats = features.add_calendar(R.forecasts_wide(spark, sf))
+    feats = add_calendar(R.forecasts_wide(spark, sf))
     ents = R.events(spark, sf).select("event_id", "zone", F.col("ts").alias("valid_time"), F.col("value").alias("price"))
     return ents, feats
 

@@ -1,8 +1,11 @@
-"""UTC calendar features as pure column expressions (no join, stays in codegen)."""
+"""UTC calendar features by arithmetic on the timestamp: no join, everything stays in generated code.
+
+The steps are stacked as small projections, so repeated parts (year, Easter offset) are computed once per row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CALENDAR_COLS = [
@@ -12,69 +15,58 @@ CALENDAR_COLS = [
 ]
 
 
-def weekday(ts: Column) -> Column:
-    """0 = Monday."""
-    return F.weekday(ts)
-
-
-def easter_sunday(day: Column) -> Column:
-    """Gregorian Easter of the year of ``day`` (Meeus/Jones/Butcher)."""
-    y = F.year(day)
+def _exprs(named: dict[str, str]) -> dict:
+    return {n: F.expr(e) for n, e in named.items()}
 
-    def idiv(a, b):
-        return F.floor(a / b).cast("int")
 
-    a = F.pmod(y, F.lit(19))
-    b, c = idiv(y, 100), F.pmod(y, F.lit(100))
-    d, e = idiv(b, 4), F.pmod(b, F.lit(4))
-    g = idiv(8 * b + 13, 25)
-    h = F.pmod(19 * a + b - d - g + 15, F.lit(30))
-    i, k = idiv(c, 4), F.pmod(c, F.lit(4))
-    m = F.pmod(32 + 2 * e + 2 * i - h - k, F.lit(7))
-    n = idiv(a + 11 * h + 22 * m, 451)
-    p = h + m - 7 * n + 114
-    return F.make_date(y, idiv(p, 31), F.pmod(p, F.lit(31)) + 1)
+def with_easter_offset(df: DataFrame, time: str = "valid_time", name: str = "from_easter") -> DataFrame:
+    """Days from the Gregorian Easter Sunday of the row's year (Oudin's integer rule)."""
+    df = df.withColumns(_exprs({"_y": f"year(`{time}`)"}))
+    df = df.withColumns(_exprs({"_g": "_y % 19", "_c": "_y div 100"}))
+    df = df.withColumns(_exprs({"_h": "(_c - _c div 4 - (8 * _c + 13) div 25 + 19 * _g + 15) % 30"}))
+    df = df.withColumns(_exprs({"_i": "_h - (_h div 28) * (1 - (29 div (_h + 1)) * ((21 - _g) div 11))"}))
+    moon_to_sunday = "_i - (_y + _y div 4 + _i + 2 - _c + _c div 4) % 7"
+    offset = f"datediff(to_date(`{time}`), make_date(_y, 3, 28)) - ({moon_to_sunday})"
+    return df.withColumns(_exprs({name: offset})).drop("_y", "_g", "_c", "_h", "_i")
 
 
-def is_swedish_holiday(ts: Column, include_eves: bool = True, include_sundays: bool = False) -> Column:
-    """Swedish public holidays on the UTC date of ``ts``.
+def with_swedish_holiday(df: DataFrame, time: str = "valid_time", name: str = "is_holiday",
+                         include_eves: bool = True, include_sundays: bool = False) -> DataFrame:
+    """1 on Swedish public holidays (UTC date), else 0.
 
     ``include_eves`` adds Midsummer, Christmas and New Year's Eve; ``include_sundays`` adds every Sunday.
     """
-    day = F.to_date(ts)
-    md = F.month(day) * 100 + F.dayofmonth(day)
-    year, wd = F.year(day), F.weekday(day)
-    from_easter = F.datediff(day, easter_sunday(day))
-    # fixed values: day-month pairs and offsets from Easter Sunday
-    hit = md.isin(101, 106, 501, 1225, 1226) | from_easter.isin(-2, 0, 1, 39, 49)
-    hit = hit | ((md == 606) & (year >= 2005)) | ((from_easter == 50) & (year <= 2004))
-    hit = hit | ((wd == 5) & (md.between(620, 626) | md.between(1031, 1106)))
+    df = with_easter_offset(df, time, "_fe").withColumns(_exprs({
+        "_md": f"month(`{time}`) * 100 + dayofmonth(`{time}`)", "_wd": f"weekday(`{time}`)", "_yr": f"year(`{time}`)",
+    }))
+    # fixed values: month-day pairs and offsets from Easter Sunday
+    hits = [
+        "_md IN (101, 106, 501, 1225, 1226)",
+        "_fe IN (-2, 0, 1, 39, 49)",
+        "(_md = 606 AND _yr >= 2005)",
+        "(_fe = 50 AND _yr <= 2004)",
+        "(_wd = 5 AND (_md BETWEEN 620 AND 626 OR _md BETWEEN 1031 AND 1106))",
+    ]
     if include_eves:
-        hit = hit | md.isin(1224, 1231) | ((wd == 4) & md.between(619, 625))
+        hits.append("_md IN (1224, 1231) OR (_wd = 4 AND _md BETWEEN 619 AND 625)")
     if include_sundays:
-        hit = hit | (wd == 6)
-    return hit
+        hits.append("_wd = 6")
+    return df.withColumns(_exprs({name: f"CAST({' OR '.join(hits)} AS INT)"})).drop("_fe", "_md", "_wd", "_yr")
 
 
-def calendar_columns(ts: Column, **holiday_options) -> dict[str, Column]:
-    """All calendar features keyed by name, for ``withColumns`` / ``select``."""
-    two_pi = 2.0 * F.pi()
-    hour, wd, month = F.hour(ts), F.weekday(ts), F.month(ts)
-    weekend = (wd >= 5).cast("int")
-    hour_sin = F.sin(two_pi * hour / 24)
-    return {
-        "hour": hour,
-        "weekday": wd,
-        "month": month,
-        "is_weekend": weekend,
-        "is_holiday": is_swedish_holiday(ts, **holiday_options).cast("int"),
-        "hour_of_week": wd * 24 + hour,
-        "hour_sin": hour_sin,
-        "hour_cos": F.cos(two_pi * hour / 24),
-        "weekday_sin": F.sin(two_pi * wd / 7),
-        "weekday_cos": F.cos(two_pi * wd / 7),
-        "month_sin": F.sin(two_pi * (month - 1) / 12),
-        "month_cos": F.cos(two_pi * (month - 1) / 12),
-        "hour_x_month": hour * month,
-        "weekend_x_hour": weekend * hour_sin,
-    }
+def add_calendar(df: DataFrame, time: str = "valid_time", **holiday_options) -> DataFrame:
+    """All calendar features; weekday 0 is Monday."""
+    df = with_swedish_holiday(df, time, **holiday_options)
+    df = df.withColumns(_exprs({"hour": f"hour(`{time}`)", "weekday": f"weekday(`{time}`)", "month": f"month(`{time}`)"}))
+    df = df.withColumns(_exprs({
+        "is_weekend": "CAST(weekday >= 5 AS INT)",
+        "hour_of_week": "weekday * 24 + hour",
+        "hour_sin": "sin(2 * pi() * hour / 24)",
+        "hour_cos": "cos(2 * pi() * hour / 24)",
+        "weekday_sin": "sin(2 * pi() * weekday / 7)",
+        "weekday_cos": "cos(2 * pi() * weekday / 7)",
+        "month_sin": "sin(2 * pi() * (month - 1) / 12)",
+        "month_cos": "cos(2 * pi() * (month - 1) / 12)",
+        "hour_x_month": "hour * month",
+    }))
+    return df.withColumns(_exprs({"weekend_x_hour": "is_weekend * hour_sin"}))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NIGHT_HOURS = [0, 1, 2, 3, 4, 5, 23]
@@ -77,25 +77,19 @@ def gaussian_sigma(lo: Column, hi: Column) -> Column:
     return F.greatest((hi - lo) / 3.29, F.lit(1e-3))
 
 
-def erf(x: Column) -> Column:
-    """Abramowitz & Stegun 7.1.26, absolute error below 1.5e-7."""
-    a = F.abs(x)
-    t = 1.0 / (1.0 + 0.3275911 * a)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return F.signum(x) * (1.0 - poly * F.exp(-a * a))
+def with_crps(df: DataFrame, y: str = "y", mu: str = "q50", lo: str = "q05", hi: str = "q95", name: str = "crps") -> DataFrame:
+    """Per-row CRPS of the Gaussian with the given median and 90 % band, in small stacked projections.
 
-
-def normal_cdf(z: Column) -> Column:
-    return 0.5 * (1.0 + erf(z / F.sqrt(F.lit(2.0))))
-
-
-def normal_pdf(z: Column) -> Column:
-    return F.exp(-0.5 * z * z) / F.sqrt(2.0 * F.pi())
-
-
-def crps_gaussian(y: Column, mu: Column, sigma: Column) -> Column:
-    z = (y - mu) / sigma
-    return sigma * (z * (2.0 * normal_cdf(z) - 1.0) + 2.0 * normal_pdf(z) - 1.0 / F.sqrt(F.pi()))
+    The error function is Abramowitz & Stegun 7.1.26 (absolute error below 1.5e-7).
+    """
+    df = df.withColumn("_sg", F.expr(f"greatest(({hi} - {lo}) / 3.29, 1e-3)"))
+    df = df.withColumn("_z", F.expr(f"({y} - {mu}) / _sg"))
+    df = df.withColumn("_t", F.expr("1 / (1 + 0.3275911D * abs(_z) / sqrt(2D))"))
+    poly = "_t * (0.254829592D + _t * (-0.284496736D + _t * (1.421413741D + _t * (-1.453152027D + _t * 1.061405429D))))"
+    df = df.withColumns({"_e": F.expr("exp(-0.5D * _z * _z)"), "_p": F.expr(poly)})
+    two_phi_minus_one = "signum(_z) * (1 - _p * _e)"
+    crps = f"_sg * (_z * {two_phi_minus_one} + 2 * _e / sqrt(2 * pi()) - 1 / sqrt(pi()))"
+    return df.withColumn(name, F.expr(crps)).drop("_sg", "_z", "_t", "_e", "_p")
 
 
 def normal_quantile(p: float) -> float:

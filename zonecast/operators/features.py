@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonecast.functions.calendar import CALENDAR_COLS, calendar_columns
+from zonecast.functions.calendar import CALENDAR_COLS, add_calendar
 from zonecast.operators.blocks import (
     BLOCK,
     DEFAULT_BLOCK_HOURS,
@@ -49,6 +49,12 @@ def _ts(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value).cast("timestamp")
 
 
+def _between(df: DataFrame, start, end, time: str = "valid_time") -> DataFrame:
+    if start is not None:
+        df = df.where(F.col(time) >= _ts(start))
+    return df if end is None else df.where(F.col(time) < _ts(end))
+
+
 def zone_bounds(series: DataFrame, start=None, end=None, zones: DataFrame | None = None) -> DataFrame:
     """``zone, lo, hi`` of the dense axis ``[lo, hi)``: given bounds, else each zone's first to last hour."""
     if zones is None or start is None or end is None:
@@ -86,11 +92,7 @@ def reindex_hourly(series: DataFrame, cols: list[str], start=None, end=None, zon
     The axis rows and the observed rows are stacked and merged by one aggregation instead of a left join.
     """
     bounds = zone_bounds(series, start, end, zones)
-    inside = series.select("zone", "valid_time", *cols)
-    if start is not None:
-        inside = inside.where(F.col("valid_time") >= _ts(start))
-    if end is not None:
-        inside = inside.where(F.col("valid_time") < _ts(end))
+    inside = _between(series.select("zone", "valid_time", *cols), start, end)
     stacked = inside.withColumn("_axis", F.lit(False)).unionByName(
         hourly_spine(bounds).withColumn("_axis", F.lit(True)), allowMissingColumns=True
     )
@@ -102,62 +104,99 @@ def reindex_hourly(series: DataFrame, cols: list[str], start=None, end=None, zon
     )
 
 
-# --- column builders over a dense, ordered window ------------------------------------------------------------------
-
+# --- dense blocks: the one shuffle ---------------------------------------------------------------------------------
 
-def price_lags(price: str, w) -> dict[str, Column]:
-    return {f"price_lag{h}h": F.lag(price, h).over(w) for h in LAGS}
 
+def dense_blocks(
+    bounds: DataFrame,
+    parts: list[DataFrame],
+    values: list[str],
+    halo_hours: int = LONGEST_FRAME,
+    block_hours: int = DEFAULT_BLOCK_HOURS,
+    carry: DataFrame | None = None,
+    fill: list[str] | None = None,
+) -> DataFrame:
+    """Axis rows and all sources stacked, shuffled once by ``(zone, block)`` and merged there.
 
-def _running(df: DataFrame, price: str, part: list[str], order: str) -> DataFrame:
-    """Running count, sum and sum of squares of the centred price (frames become differences of two lags)."""
-    whole = Window.partitionBy(*part)
-    run = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    x = F.col(price) - F.col("_centre")
-    return (
-        df.withColumn("_centre", F.coalesce(F.avg(price).over(whole), F.lit(0.0)))
-        .withColumns({"_c": F.count(price).over(run), "_s": F.sum(x).over(run), "_q": F.sum(x * x).over(run)})
+    Returns ``zone, _block, valid_time, *values`` for every axis hour of a block and its halo. ``fill`` columns are
+    forward-filled; ``carry`` brings in, one row per block, values older than the halo.
+    """
+    part = ["zone", BLOCK]
+    tall = hourly_spine(bounds, block_hours).withColumn("_axis", F.lit(True))
+    for p in parts:
+        tall = tall.unionByName(p.withColumn("_axis", F.lit(False)), allowMissingColumns=True)
+    spread = with_halo(tall, "valid_time", halo_hours, block_hours)
+    if carry is not None:
+        ahead = block_start(F.col(BLOCK), block_hours) - F.make_interval(hours=F.lit(halo_hours + 1))
+        spread = spread.unionByName(
+            carry.withColumns({"valid_time": ahead, "_axis": F.lit(False)}), allowMissingColumns=True
+        )
+    known = set(tall.columns)
+    # the explicit shuffle serves this merge and every window on (zone, block) after it
+    dense = (
+        spread.repartition(*part)
+        .groupBy(*part, "valid_time")
+        .agg(
+            F.bool_or("_axis").alias("_axis"),
+            *[(F.max(c) if c in known else F.lit(None).cast("double")).alias(c) for c in values],
+        )
     )
+    if fill:
+        upto = Window.partitionBy(*part).orderBy("valid_time").rowsBetween(Window.unboundedPreceding, 0)
+        dense = dense.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in fill})
+    return dense.where("_axis").drop("_axis")
 
 
-def rolling_stats(w) -> dict[str, Column]:
-    """Rolling mean and sample deviation of the price shifted by one day, nulls skipped, from running sums."""
-
-    def at(name, shift):
-        return F.coalesce(F.lag(name, shift).over(w), F.lit(0.0))
-
-    def frame(hours):
-        far = ROLL_SHIFT + hours
-        return [at(n, ROLL_SHIFT) - at(n, far) for n in ("_c", "_s", "_q")]
-
-    def mean(hours):
-        n, s, _ = frame(hours)
-        return F.when(n > 0, F.col("_centre") + s / n)
+def _over(expr: str, frame: str = "") -> Column:
+    return F.expr(f"{expr} OVER (PARTITION BY zone, {BLOCK} ORDER BY valid_time {frame})")
 
-    def std(hours):
-        n, s, q = frame(hours)
-        return F.when(n > 1, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))))
 
-    return {"price_roll24h": mean(24), "price_roll168h": mean(168),
-            "price_roll168h_std": std(168), "price_roll720h_std": std(720)}
+def add_price_features(dense: DataFrame, price: str = "price") -> DataFrame:
+    """Lags and rolling statistics on dense blocks.
 
-
-def blocked(df: DataFrame, halo_hours: int = LONGEST_FRAME, block_hours: int = DEFAULT_BLOCK_HOURS) -> DataFrame:
-    """Halo copies, shuffled once by ``(zone, block)``; later steps on these keys need no further exchange."""
-    return with_halo(df, "valid_time", halo_hours, block_hours).repartition("zone", BLOCK)
+    A rolling frame is the difference of two running sums read through lags, so its cost per row does not grow with
+    the frame. Prices are centred per block first, which keeps the squares small.
+    """
+    run = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    far = sorted({ROLL_SHIFT + h for h in (24, 168, 720)})
+    out = dense.withColumn("_m", F.expr(f"coalesce(avg({price}) OVER (PARTITION BY zone, {BLOCK}), 0D)"))
+    out = out.withColumns({
+        "_c": _over(f"count({price})", run),
+        "_s": _over(f"sum({price} - _m)", run),
+        "_q": _over(f"sum(({price} - _m) * ({price} - _m))", run),
+    })
+    lags = {f"price_lag{h}h": _over(f"lag({price}, {h})") for h in LAGS}
+    ends = {f"_{n}{k}": _over(f"lag(_{n}, {k}, 0)") for n in "csq" for k in (ROLL_SHIFT, *far)}
+    out = out.withColumns({**lags, **ends})
+    steps = {}
+    for h in (24, 168, 720):
+        for n in "csq":
+            steps[f"_{n}_{h}"] = F.expr(f"coalesce(_{n}{ROLL_SHIFT}, 0) - coalesce(_{n}{ROLL_SHIFT + h}, 0)")
+    out = out.withColumns(steps)
+
+    def std(h):
+        return F.expr(f"if(_c_{h} > 1, sqrt(greatest((_q_{h} - _s_{h} * _s_{h} / _c_{h}) / (_c_{h} - 1), 0D)), NULL)")
+
+    def mean(h):
+        return F.expr(f"if(_c_{h} > 0, _m + _s_{h} / _c_{h}, NULL)")
+
+    return out.select(
+        *dense.columns, *LAG_COLS, mean(24).alias("price_roll24h"), mean(168).alias("price_roll168h"),
+        std(168).alias("price_roll168h_std"), std(720).alias("price_roll720h_std"),
+    )
 
 
-def price_features(dense: DataFrame, price: str = "price", block_hours: int = DEFAULT_BLOCK_HOURS) -> DataFrame:
-    """E1-E3 on an already dense frame: lags and rolling statistics for every zone."""
-    part = ["zone", BLOCK]
-    w = Window.partitionBy(*part).orderBy("valid_time")
-    out = _running(blocked(dense, LONGEST_FRAME, block_hours), price, part, "valid_time")
-    out = out.withColumns({**price_lags(price, w), **rolling_stats(w)})
-    return out.where(is_core("valid_time", block_hours)).drop("_centre", "_c", "_s", "_q", BLOCK)
+def price_features(series: DataFrame, start=None, end=None, zones: DataFrame | None = None, price: str = "price",
+                   block_hours: int = DEFAULT_BLOCK_HOURS) -> DataFrame:
+    """Dense hourly price with lags and rolling statistics; the input need not be dense."""
+    rows = _between(series.select("zone", "valid_time", F.col(price).cast("double").alias("price")), start, end)
+    bounds = zone_bounds(rows, start, end, zones)
+    dense = dense_blocks(bounds, [rows], ["price"], LONGEST_FRAME, block_hours)
+    return add_price_features(dense).where(is_core("valid_time", block_hours)).drop(BLOCK)
 
 
 def forward_fill(dense: DataFrame, cols: list[str], block_hours: int = DEFAULT_BLOCK_HOURS) -> DataFrame:
-    """Last known value at or before each hour; values from earlier blocks arrive as one carried row per block."""
+    """Last known value at or before each row; values from earlier blocks arrive as one carried row per block."""
     carry = carried_last(dense, ["zone"], "valid_time", cols, block_hours)
     carry = carry.withColumn("valid_time", block_start(F.col(BLOCK), block_hours) - F.expr("interval 1 second"))
     own = dense.withColumn(BLOCK, block_of(F.col("valid_time"), block_hours))
@@ -168,12 +207,8 @@ def forward_fill(dense: DataFrame, cols: list[str], block_hours: int = DEFAULT_B
     return filled.where(is_core("valid_time", block_hours)).drop(BLOCK)
 
 
-def weather_interactions(hour: Column) -> dict[str, Column]:
-    return {"temp_x_wind": F.col("temperature") * F.col("wind_speed"), "temp_x_hour": F.col("temperature") * hour}
-
-
-def add_calendar(df: DataFrame, **holiday_options) -> DataFrame:
-    return df.withColumns(calendar_columns(F.col("valid_time"), **holiday_options))
+def weather_interactions(hour: str = "hour") -> dict[str, Column]:
+    return {"temp_x_wind": F.expr("temperature * wind_speed"), "temp_x_hour": F.expr(f"temperature * {hour}")}
 
 
 # --- the matrix ----------------------------------------------------------------------------------------------------
@@ -200,66 +235,32 @@ def build_features(
     ``warmup_hours`` reads that much history before ``start`` so the first lags are filled (0 keeps lags inside the
     window). ``gate_safe`` nulls the 23 h lag at hour 23, which reads the delivery day itself.
     """
-    read_from = None
+    first = None
     if start is not None:
-        read_from = _ts(start) - F.make_interval(hours=F.lit(warmup_hours)) if warmup_hours else _ts(start)
-
-    def clip(df):
-        if read_from is not None:
-            df = df.where(F.col("valid_time") >= read_from)
-        return df if end is None else df.where(F.col("valid_time") < _ts(end))
-
-    parts = [clip(price.select("zone", "valid_time", F.col("price").cast("double").alias("price")))]
-    bounds = zone_bounds(parts[0], read_from, end, zones)
+        first = _ts(start) - F.make_interval(hours=F.lit(warmup_hours)) if warmup_hours else _ts(start)
+    parts = [_between(price.select("zone", "valid_time", F.col("price").cast("double").alias("price")), first, end)]
+    bounds = zone_bounds(parts[0], first, end, zones)
+    carry = fill = None
     if weather is not None:
-        filled = [c for c in WEATHER_COLS if c in weather.columns]
+        fill = [c for c in WEATHER_COLS if c in weather.columns]
         on_axis = F.date_trunc("hour", F.col("valid_time")) == F.col("valid_time")
-        parts.append(clip(weather.select("zone", "valid_time", *filled)).where(on_axis))
+        parts.append(_between(weather.select("zone", "valid_time", *fill), first, end).where(on_axis))
         blocks = zone_blocks(bounds, block_hours).select("zone", BLOCK)
-        carry = carried_last(parts[-1], ["zone"], "valid_time", filled, block_hours, blocks)
+        carry = carried_last(parts[-1], ["zone"], "valid_time", fill, block_hours, blocks)
     if generation is not None:
-        parts.append(clip(generation.select("zone", "valid_time", "wind_mw", "solar_mw")))
+        parts.append(_between(generation.select("zone", "valid_time", "wind_mw", "solar_mw"), first, end))
     if load is not None:
         mw = "load_mw" if "load_mw" in load.columns else "value_mw"
-        parts.append(clip(load.select("zone", "valid_time", F.col(mw).alias("load_mw"))))
+        parts.append(_between(load.select("zone", "valid_time", F.col(mw).alias("load_mw")), first, end))
     if flows is not None:
-        parts.append(net_exchange(clip(flows)))
+        parts.append(net_exchange(_between(flows, first, end)))
 
-    tall = hourly_spine(bounds, block_hours).withColumn("_axis", F.lit(True))
-    for p in parts:
-        tall = tall.unionByName(p.withColumn("_axis", F.lit(False)), allowMissingColumns=True)
     values = ["price", *WEATHER_COLS, *GRID_COLS]
-    for c in values:
-        if c not in tall.columns:
-            tall = tall.withColumn(c, F.lit(None).cast("double"))
-
-    spread = with_halo(tall, "valid_time", LONGEST_FRAME, block_hours)
-    if weather is not None:
-        # one row per block ahead of its halo, bringing in values older than the halo
-        ahead = block_start(F.col(BLOCK), block_hours) - F.make_interval(hours=F.lit(LONGEST_FRAME + 1))
-        spread = spread.unionByName(
-            carry.withColumns({"valid_time": ahead, "_axis": F.lit(False)}), allowMissingColumns=True
-        )
-    part = ["zone", BLOCK]
-    # the explicit shuffle serves the merge and every window below
-    dense = (
-        spread.repartition(*part)
-        .groupBy(*part, "valid_time")
-        .agg(F.bool_or("_axis").alias("_axis"), *[F.max(c).alias(c) for c in values])
-    )
-    w = Window.partitionBy(*part).orderBy("valid_time")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    if weather is not None:
-        # carried and halo rows off the axis may only feed the fill, so fill first, then keep the axis
-        dense = dense.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in WEATHER_COLS})
-    dense = dense.where("_axis")
-    out = _running(dense, "price", part, "valid_time")
-    out = out.withColumns({**price_lags("price", w), **rolling_stats(w)})
-    out = out.where(is_core("valid_time", block_hours))
+    dense = dense_blocks(bounds, parts, values, LONGEST_FRAME, block_hours, carry, fill)
+    out = add_price_features(dense).where(is_core("valid_time", block_hours))
     if start is not None and warmup_hours:
         out = out.where(F.col("valid_time") >= _ts(start))
-    out = out.withColumns(calendar_columns(F.col("valid_time"), **holiday_options))
-    out = out.withColumns(weather_interactions(F.col("hour")))
+    out = add_calendar(out, **holiday_options).withColumns(weather_interactions())
     if gate_safe:
         out = out.withColumn("price_lag23h", F.when(F.col("hour") != 23, F.col("price_lag23h")))
     return out.select(*MATRIX_COLS)

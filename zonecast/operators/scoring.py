@@ -20,8 +20,8 @@ def eval_metrics(scored: DataFrame, keys: Sequence[str] = ("zone", "model"), spi
     """One row per key with a valid pair; spike MAE is null without spikes."""
     y, lo, mid, hi = F.col("y"), F.col("q05"), F.col("q50"), F.col("q95")
     hit = F.coalesce(((y >= lo) & (y <= hi)).cast("double"), F.lit(0.0))
-    return _valid(scored).groupBy(*keys).agg(
-        F.avg(S.crps_gaussian(y, mid, S.gaussian_sigma(lo, hi))).alias("crps"),
+    return S.with_crps(_valid(scored), name="_crps").groupBy(*keys).agg(
+        F.avg("_crps").alias("crps"),
         F.avg(F.abs(y - mid)).alias("mae"),
         F.avg(F.when(y > spike_threshold, F.abs(y - mid))).alias("spike_mae"),
         F.avg(hit).alias("coverage"),
