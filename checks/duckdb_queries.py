@@ -402,4 +402,13 @@ ORACLE = {
  SELECT al.zone, n_hours, coalesce(k, 0) > 0 AS drift_detected, coalesce(k, 0) AS n_alerts, CAST(NULL AS VARCHAR) AS warning FROM al LEFT JOIN c USING (zone)""",
     "training_rows": f"""WITH {D}, {matrix('spine')}, m AS ({MATRIX_SELECT}) SELECT zone, valid_time, price, price_lag336h, temp_x_hour FROM m
  WHERE price IS NOT NULL AND temperature IS NOT NULL AND """ + " AND ".join(f"price_lag{h}h IS NOT NULL" for h in LAGS) + " AND price_roll24h IS NOT NULL AND price_roll168h IS NOT NULL",
+    "target_encoding": f"""WITH {S} SELECT zone, valid_time, {r('price')} AS price, hour(valid_time) AS hour,
+ {r('avg(price) OVER (PARTITION BY zone, hour(valid_time) ORDER BY valid_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)')} AS hour_target FROM s""",
+    "walk_forward": f"""WITH {D}, {FOLDS}, tr AS (SELECT zone, fold, hour(valid_time) AS h, min(price) AS q05, avg(price) AS q50, max(price) AS q95
+  FROM d JOIN folds ON valid_time >= train_start AND valid_time < train_end WHERE price IS NOT NULL GROUP BY 1, 2, 3),
+ use AS (SELECT zone, fold FROM d, folds GROUP BY 1, 2 HAVING count(price) FILTER (WHERE valid_time >= train_start AND valid_time < train_end) >= 24
+  AND count(price) FILTER (WHERE valid_time >= test_start AND valid_time < test_end) >= 24),
+ te AS (SELECT d.zone, fold, 'seasonal' AS model, price AS y, q05, q50, q95 FROM d JOIN folds ON valid_time >= test_start AND valid_time < test_end
+  JOIN use USING (zone, fold) LEFT JOIN tr ON tr.zone = d.zone AND tr.fold = folds.fold AND tr.h = hour(valid_time))
+ SELECT zone, fold, model, {named(EVAL)} FROM te WHERE {P50} GROUP BY 1, 2, 3""",
 }

@@ -24,43 +24,38 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def events(spark, sf) -> DataFrame:
     """Raw rows with their zone and hour."""
-    return table(spark, sf, "events").select(
-        "event_id", F.col("event_type").alias("zone"),
-        F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("valid_time"),
-        F.col("ts").cast("timestamp").alias("ts"), "user_id", "value",
+    return table(spark, sf, "events").selectExpr(
+        "event_id", "event_type AS zone", "date_trunc('hour', CAST(ts AS TIMESTAMP)) AS valid_time",
+        "CAST(ts AS TIMESTAMP) AS ts", "user_id", "value",
     )
 
 
-def prices(spark, sf) -> DataFrame:
-    return events(spark, sf).groupBy("zone", "valid_time").agg(F.avg("value").alias("price"))
+def _hourly(ev: DataFrame, **named: str) -> DataFrame:
+    return ev.groupBy("zone", "valid_time").agg(*[F.expr(e).alias(n) for n, e in named.items()])
 
 
-def weather(spark, sf) -> DataFrame:
+def prices(spark, sf, ev: DataFrame | None = None) -> DataFrame:
+    return _hourly(ev or events(spark, sf), price="avg(value)")
+
+
+def weather(spark, sf, ev: DataFrame | None = None) -> DataFrame:
     """Sparse on purpose: hours with a single event have no weather."""
-    many = F.count(F.lit(1)) >= 2
-    return events(spark, sf).groupBy("zone", "valid_time").agg(
-        F.when(many, F.min("value")).alias("temperature"),
-        F.when(many, F.max("value")).alias("wind_speed"),
-        F.when(many, F.avg("user_id")).alias("irradiance"),
-    )
+    return _hourly(ev or events(spark, sf), temperature="if(count(*) >= 2, min(value), NULL)",
+                   wind_speed="if(count(*) >= 2, max(value), NULL)", irradiance="if(count(*) >= 2, avg(user_id), NULL)")
 
 
-def generation_hourly(spark, sf) -> DataFrame:
-    return events(spark, sf).groupBy("zone", "valid_time").agg(
-        F.sum(F.least(F.col("value"), F.lit(50.0))).alias("wind_mw"),
-        F.sum(F.greatest(F.col("value") - 50.0, F.lit(0.0))).alias("solar_mw"),
-    )
+def generation_hourly(spark, sf, ev: DataFrame | None = None) -> DataFrame:
+    return _hourly(ev or events(spark, sf), wind_mw="sum(least(value, 50D))", solar_mw="sum(greatest(value - 50D, 0D))")
 
 
-def load_hourly(spark, sf) -> DataFrame:
-    return events(spark, sf).groupBy("zone", "valid_time").agg(F.sum("value").alias("value_mw"))
+def load_hourly(spark, sf, ev: DataFrame | None = None) -> DataFrame:
+    return _hourly(ev or events(spark, sf), value_mw="sum(value)")
 
 
-def ring_flows(spark, sf) -> DataFrame:
+def ring_flows(spark, sf, ev: DataFrame | None = None) -> DataFrame:
     """Each event type exports to the next one in the ring."""
-    to = F.coalesce(*[F.when(F.col("zone") == a, F.lit(b)) for a, b in RING])
-    return events(spark, sf).select("valid_time", F.col("zone").alias("from_zone"), to.alias("to_zone"),
-                                    F.col("value").alias("value_mw"))
+    to = "CASE zone " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in RING) + " END"
+    return (ev or events(spark, sf)).selectExpr("valid_time", "zone AS from_zone", f"{to} AS to_zone", "value AS value_mw")
 
 
 def dense(spark, sf) -> DataFrame:
@@ -68,9 +63,10 @@ def dense(spark, sf) -> DataFrame:
 
 
 def matrix(spark, sf, **options) -> DataFrame:
+    ev = events(spark, sf)
     return X.build_features(
-        prices(spark, sf), weather(spark, sf), generation_hourly(spark, sf), load_hourly(spark, sf),
-        ring_flows(spark, sf), **options,
+        prices(spark, sf, ev), weather(spark, sf, ev), generation_hourly(spark, sf, ev), load_hourly(spark, sf, ev),
+        ring_flows(spark, sf, ev), **options,
     )
 
 
@@ -81,15 +77,12 @@ def forecasts_wide(spark, sf) -> DataFrame:
 
 def scored(spark, sf) -> DataFrame:
     """``zone, valid_time, model, y, q05, q50, q95``: median from a lag, band from the weekly deviation."""
-    per_model = F.explode(F.array(*[
-        F.struct(F.lit(m).alias("model"), F.col(c).alias("q50")) for m, c in MODELS.items()
-    ]))
-    band = 1.645 * F.col("price_roll168h_std")
+    per_model = ", ".join(f"struct('{m}' AS model, {c} AS mid)" for m, c in MODELS.items())
+    band = "1.645D * price_roll168h_std"
     return (
         forecasts_wide(spark, sf)
-        .withColumn("_m", per_model)
-        .select("zone", "valid_time", "_m.model", F.col("price").alias("y"), (F.col("_m.q50") - band).alias("q05"),
-                F.col("_m.q50").alias("q50"), (F.col("_m.q50") + band).alias("q95"))
+        .selectExpr("zone", "valid_time", "price", "price_roll168h_std", f"inline(array({per_model}))")
+        .selectExpr("zone", "valid_time", "model", "price AS y", f"mid - {band} AS q05", "mid AS q50", f"mid + {band} AS q95")
     )
 
 

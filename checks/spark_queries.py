@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from checks import roles as R
 from zonecast.functions import scores as S
 from zonecast.functions.calendar import add_calendar
-from zonecast.operators import calibrate, exchange, features, metrics, monitor, pit, quality, scoring, splits, stack
+from zonecast.operators import (
+    boosting, calibrate, exchange, explain, features, forest, lear, metrics, monitor, pit, quality, scoring, splits, stack,
+)
+from zonecast.plans import evaluation, forecast, training
+from zonecast.session import materialize
 from zonecast.sources import bitemporal, bronze, dims, gold, silver
 
 FOLD_START, FOLD_END = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 31)
@@ -21,18 +25,16 @@ FEATURE_FOR_PIT = ["price_lag24h", "price_roll24h", "hour"]
 def out(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for name, kind in df.dtypes:
-        c = F.col(f"`{name}`")
+        c = f"`{name}`"
         if kind in ("double", "float"):
-            # the shift moves exact halves, which the engines round differently
-            c = F.round(c + 1e-9, digits)
-            # one zero: -0.0 and 0.0 are equal but print differently
-            c = F.when(c == 0, F.lit(0.0)).otherwise(c)
+            # the shift moves exact halves, which the engines round differently; adding 0 turns -0.0 into 0.0
+            c = f"round({c} + 1e-9D, {digits}) + 0D"
         elif kind in ("timestamp", "timestamp_ltz"):
-            c = c.cast("timestamp_ntz")
+            c = f"CAST({c} AS TIMESTAMP_NTZ)"
         elif kind in ("int", "smallint", "tinyint"):
-            c = c.cast("bigint")
-        cols.append(c.alias(name))
-    return df.select(*cols)
+            c = f"CAST({c} AS BIGINT)"
+        cols.append(f"{c} AS `{name}`")
+    return df.selectExpr(*cols)
 
 
 def hourly_series(spark, sf):
@@ -384,6 +386,94 @@ def training_rows(spark, sf):
     return out(rows.select("zone", "valid_time", "price", "price_lag336h", "temp_x_hour"))
 
 
+# --- fitted models (kept small: three boosting rounds, shallow trees) ---
+
+SHORT_LEAR = ["price_lag23h", "price_lag24h", "price_lag25h", "price_lag48h", "price_roll24h", "weekday_sin",
+              "weekday_cos", "temperature"]
+BOOST = boosting.BoostConfig(rounds=3, learning_rate=0.3, max_depth=2, min_leaf=20, checkpoint_every=3)
+FOREST = forest.ForestConfig(trees=8, max_depth=4, min_leaf=10)
+
+
+def _fitted_matrix(spark, sf):
+    return materialize(R.matrix(spark, sf))
+
+
+def target_encoding(spark, sf):
+    rows = R.prices(spark, sf).withColumn("hour", F.hour("valid_time"))
+    return out(boosting.ordered_target_mean(rows, "hour"))
+
+
+def lear_models(spark, sf):
+    models = lear.lear_fit(_fitted_matrix(spark, sf), features=SHORT_LEAR, min_rows=16)
+    return out(models.drop("coef"))
+
+
+def lear_forecast(spark, sf):
+    m = _fitted_matrix(spark, sf)
+    models = lear.lear_fit(m, features=SHORT_LEAR, min_rows=16)
+    scored = lear.lear_predict(m, models, SHORT_LEAR)
+    return out(scored.select("zone", "valid_time", "lear_q05", "lear_q50", "lear_q95"))
+
+
+def quantile_gbt(spark, sf):
+    m = _fitted_matrix(spark, sf)
+    scored = boosting.boosted_predict(m, boosting.boosted_fit(m, config=BOOST, cap_half=True))
+    return out(scored.select("zone", "valid_time", "lgbm_q05", "lgbm_q50", "lgbm_q95"))
+
+
+def quantile_forest(spark, sf):
+    m = _fitted_matrix(spark, sf)
+    scored = forest.forest_predict(m, forest.forest_fit(m, config=FOREST))
+    return out(scored.select("zone", "valid_time", "xgb_q05", "xgb_q50", "xgb_q95"))
+
+
+def contributions(spark, sf):
+    """Mean absolute contribution per feature of the forest's median on the row sample."""
+    m = _fitted_matrix(spark, sf)
+    model = forest.forest_fit(m, config=FOREST)
+    rows = m.where(features.scorable(model.features))
+    sample = explain.sample_rows(rows.select("zone", "valid_time", *model.features), 100)
+    values = explain.shapley_values(
+        sample, model.features, lambda d: forest.forest_predict(d, model).withColumn("score", F.col("xgb_q50")), 2)
+    return out(explain.contribution_summary(values))
+
+
+def _seasonal_fit(train):
+    return train.groupBy("zone", F.hour("valid_time").alias("_h")).agg(
+        F.min("price").alias("q05"), F.avg("price").alias("q50"), F.max("price").alias("q95"))
+
+
+def _seasonal_predict(test, fitted):
+    return test.select("zone", "valid_time", F.hour("valid_time").alias("_h")).join(fitted, ["zone", "_h"], "left").drop("_h")
+
+
+def walk_forward(spark, sf):
+    """Refit per fold: hour-of-day mean and range of the training window."""
+    result = evaluation.walk_forward(R.dense(spark, sf), {"seasonal": (_seasonal_fit, _seasonal_predict)},
+                                     FOLD_START, FOLD_END, **FOLD)
+    return out(result.fold_metrics)
+
+
+def batch_forecast(spark, sf):
+    """Three base models, calibration and blend fitted on the early part, then every zone's last full day."""
+    m = _fitted_matrix(spark, sf)
+    config = training.TrainConfig(boost=BOOST, forest=FOREST, cal_days=8, test_days=3, min_labelled=24)
+    early = m.where(F.col("valid_time") < F.lit(dt.datetime(2024, 1, 27)))
+    late = m.where((F.col("valid_time") >= F.lit(dt.datetime(2024, 1, 22))) & (F.col("valid_time") < F.lit(dt.datetime(2024, 1, 27))))
+    models = training.TrainedModels(
+        lgbm=boosting.boosted_fit(early, config=config.boost, cap_half=True),
+        xgb=forest.forest_fit(early, config=config.forest),
+        cat=boosting.categorical_fit(early, config=config.boost), lear=None)
+    raw = materialize(models.base_predictions(late, apply_conformal=False))
+    actual = m.select("zone", "valid_time", F.col("price").alias("y"))
+    models.conformal = materialize(calibrate.conformal_fit(training.long_form(raw, training.BASE).join(actual, ["zone", "valid_time"])))
+    models.blend = materialize(stack.stack_fit(training.widen_intervals(raw, models.conformal).join(actual, ["zone", "valid_time"])))
+    requests = m.select("zone").distinct().withColumn("date", F.lit(dt.date(2024, 1, 29)))
+    answers = forecast.batch_forecast(m, requests, models.predict, "v1", dt.datetime(2024, 1, 28, 12))
+    hours = answers.select("zone", "date", F.explode("forecast").alias("h"))
+    return out(hours.select("zone", F.col("date").cast("string").alias("date"), "h.*"))
+
+
 QUERIES = {
     f.__name__: f
     for f in [
@@ -397,5 +487,7 @@ QUERIES = {
         walk_forward_folds, conformal_fit, conformal_apply, quantile_ordering, base_predictions, ridge_stack,
         stack_predict, recency_weights, train_val_split, expanding_blocks, calendar_split, label_coverage,
         promotion_history, run_delta, retrain_gate, threshold_alerts, drift_report, training_rows,
+        target_encoding, walk_forward, lear_models, lear_forecast, quantile_gbt, quantile_forest, contributions,
+        batch_forecast,
     ]
 }

@@ -16,26 +16,24 @@ BLOCK = "_block"
 DEFAULT_BLOCK_HOURS = 4 * 744
 
 
-def _seconds(time: Column) -> Column:
-    return F.unix_seconds(time.cast("timestamp"))
+def block_of(time: str, block_hours: int = DEFAULT_BLOCK_HOURS) -> Column:
+    """Block number of a time expression."""
+    return F.expr(f"CAST(floor(unix_seconds(CAST({time} AS TIMESTAMP)) / {block_hours * 3600}) AS BIGINT)")
 
 
-def block_of(time: Column, block_hours: int = DEFAULT_BLOCK_HOURS) -> Column:
-    return F.floor(_seconds(time) / F.lit(block_hours * 3600)).cast("long")
-
-
-def block_start(block: Column, block_hours: int = DEFAULT_BLOCK_HOURS) -> Column:
-    return F.timestamp_seconds(block * F.lit(block_hours * 3600))
+def block_start(block: str = BLOCK, block_hours: int = DEFAULT_BLOCK_HOURS, shift_seconds: int = 0) -> Column:
+    return F.expr(f"timestamp_seconds(({block}) * {block_hours * 3600} + ({shift_seconds}))")
 
 
 def with_halo(df: DataFrame, time: str, halo_hours: int, block_hours: int = DEFAULT_BLOCK_HOURS) -> DataFrame:
     """Copy each row into every block whose frames may reach it; ``block_of(time) == _block`` marks the original."""
-    reach = F.floor((_seconds(F.col(time)) + halo_hours * 3600) / F.lit(block_hours * 3600)).cast("long")
-    return df.withColumn(BLOCK, F.explode(F.sequence(block_of(F.col(time), block_hours), reach)))
+    sec, size = f"unix_seconds(CAST({time} AS TIMESTAMP))", block_hours * 3600
+    reach = f"CAST(floor(({sec} + {halo_hours * 3600}) / {size}) AS BIGINT)"
+    return df.withColumn(BLOCK, F.expr(f"explode(sequence(CAST(floor({sec} / {size}) AS BIGINT), {reach}))"))
 
 
 def is_core(time: str, block_hours: int = DEFAULT_BLOCK_HOURS) -> Column:
-    return block_of(F.col(time), block_hours) == F.col(BLOCK)
+    return block_of(time, block_hours) == F.col(BLOCK)
 
 
 def carried_last(
@@ -50,11 +48,11 @@ def carried_last(
 
     ``all_blocks`` lists blocks that need a carried row even if ``df`` has none there.
     """
-    rows = df.select(*keys, time, *cols, block_of(F.col(time), block_hours).alias(BLOCK))
+    rows = df.select(*keys, time, *cols, block_of(time, block_hours).alias(BLOCK))
     if all_blocks is not None:
         rows = rows.unionByName(all_blocks.select(*keys, BLOCK), allowMissingColumns=True)
     last = rows.groupBy(*keys, BLOCK).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(time))).alias(c) for c in cols]
+        *[F.expr(f"max_by({c}, if({c} IS NULL, NULL, {time}))").alias(c) for c in cols]
     )
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     return last.select(*keys, BLOCK, *[F.last(c, ignorenulls=True).over(before).alias(c) for c in cols])
@@ -69,7 +67,7 @@ def block_prefix(
 ) -> DataFrame:
     """Per ``(keys, _block)``: for each named value the sum over earlier blocks and ``<name>_total`` over all."""
     parts = (
-        df.select("*", block_of(F.col(time), block_hours).alias(BLOCK))
+        df.select("*", block_of(time, block_hours).alias(BLOCK))
         .groupBy(*keys, BLOCK)
         .agg(*[F.sum(v).alias(n) for n, v in sums.items()])
     )
@@ -93,7 +91,7 @@ def add_row_position(
     offsets = block_prefix(df, keys, time, {"_before": F.lit(1)}, block_hours)
     w = Window.partitionBy(*keys, BLOCK).orderBy(time)
     return (
-        df.withColumn(BLOCK, block_of(F.col(time), block_hours))
+        df.withColumn(BLOCK, block_of(time, block_hours))
         .join(offsets, [*keys, BLOCK])
         .withColumn(position, (F.row_number().over(w) + F.col("_before")).cast("long"))
         .withColumnRenamed("_before_total", total)

@@ -10,26 +10,21 @@ from pyspark.sql import functions as F
 
 def imports_exports(flows: DataFrame) -> DataFrame:
     """Imports and exports per zone and time in one pass: every edge contributes to both of its ends."""
-    ends = flows.select(
+    none = "CAST(NULL AS DOUBLE)"
+    ends = flows.selectExpr(
         "valid_time",
-        F.explode(
-            F.array(
-                F.struct(F.col("to_zone").alias("zone"), F.col("value_mw").alias("imp"),
-                         F.lit(None).cast("double").alias("exp")),
-                F.struct(F.col("from_zone").alias("zone"), F.lit(None).cast("double").alias("imp"),
-                         F.col("value_mw").alias("exp")),
-            )
-        ).alias("e"),
-    ).select("valid_time", "e.*")
+        f"""inline(array(
+            struct(to_zone AS zone, CAST(value_mw AS DOUBLE) AS imp, {none} AS exp),
+            struct(from_zone AS zone, {none} AS imp, CAST(value_mw AS DOUBLE) AS exp)))""",
+    )
     return ends.groupBy("zone", "valid_time").agg(F.sum("imp").alias("imports_mw"), F.sum("exp").alias("exports_mw"))
 
 
 def net_exchange(flows: DataFrame) -> DataFrame:
     """Imports minus exports; a side that is absent counts as zero."""
     both = imports_exports(flows)
-    present = F.col("imports_mw").isNotNull() | F.col("exports_mw").isNotNull()
-    net = F.coalesce("imports_mw", F.lit(0.0)) - F.coalesce("exports_mw", F.lit(0.0))
-    return both.select("zone", "valid_time", F.when(present, net).alias("net_exchange_mw"))
+    net = "if(imports_mw IS NULL AND exports_mw IS NULL, NULL, coalesce(imports_mw, 0D) - coalesce(exports_mw, 0D))"
+    return both.selectExpr("zone", "valid_time", f"{net} AS net_exchange_mw")
 
 
 def row_sum(cols: list[str]) -> Column:

@@ -59,12 +59,12 @@ def zone_bounds(series: DataFrame, start=None, end=None, zones: DataFrame | None
     """``zone, lo, hi`` of the dense axis ``[lo, hi)``: given bounds, else each zone's first to last hour."""
     if zones is None or start is None or end is None:
         per = series.groupBy("zone").agg(
-            F.min("valid_time").alias("_lo"), (F.max("valid_time") + F.expr("interval 1 hour")).alias("_hi")
+            F.min("valid_time").alias("_lo"), F.expr("max(valid_time) + INTERVAL 1 HOUR").alias("_hi")
         )
         if zones is not None:
             per = zones.select("zone").join(per, "zone", "left")
     else:
-        per = zones.select("zone", F.lit(None).cast("timestamp").alias("_lo"), F.lit(None).cast("timestamp").alias("_hi"))
+        per = zones.selectExpr("zone", "CAST(NULL AS TIMESTAMP) AS _lo", "CAST(NULL AS TIMESTAMP) AS _hi")
     lo = F.col("_lo") if start is None else _ts(start)
     hi = F.col("_hi") if end is None else _ts(end)
     return per.select("zone", F.date_trunc("hour", lo).alias("lo"), hi.alias("hi"))
@@ -72,18 +72,19 @@ def zone_bounds(series: DataFrame, start=None, end=None, zones: DataFrame | None
 
 def zone_blocks(bounds: DataFrame, block_hours: int = DEFAULT_BLOCK_HOURS) -> DataFrame:
     """The blocks each zone's axis touches."""
-    last = F.col("hi") - F.expr("interval 1 second")
-    return bounds.where(F.col("lo") < F.col("hi")).select(
-        "zone", "lo", "hi", F.explode(F.sequence(block_of(F.col("lo"), block_hours), block_of(last, block_hours))).alias(BLOCK)
+    last = block_of("hi - INTERVAL 1 SECOND", block_hours)
+    return bounds.where("lo < hi").select(
+        "zone", "lo", "hi", F.explode(F.sequence(block_of("lo", block_hours), last)).alias(BLOCK)
     )
 
 
 def hourly_spine(bounds: DataFrame, block_hours: int = DEFAULT_BLOCK_HOURS) -> DataFrame:
     """Dense ``zone, valid_time``; expanded block by block so no single row explodes into a whole history."""
-    blocks = zone_blocks(bounds, block_hours)
-    first = F.greatest(F.col("lo"), block_start(F.col(BLOCK), block_hours))
-    last = F.least(F.col("hi"), block_start(F.col(BLOCK) + 1, block_hours)) - F.expr("interval 1 second")
-    return blocks.select("zone", F.explode(F.sequence(first, last, F.expr("interval 1 hour"))).alias("valid_time"))
+    size = block_hours * 3600
+    first = f"greatest(lo, timestamp_seconds({BLOCK} * {size}))"
+    last = f"least(hi, timestamp_seconds(({BLOCK} + 1) * {size})) - INTERVAL 1 SECOND"
+    hours = f"explode(sequence({first}, {last}, INTERVAL 1 HOUR))"
+    return zone_blocks(bounds, block_hours).select("zone", F.expr(hours).alias("valid_time"))
 
 
 def reindex_hourly(series: DataFrame, cols: list[str], start=None, end=None, zones: DataFrame | None = None) -> DataFrame:
@@ -127,7 +128,7 @@ def dense_blocks(
         tall = tall.unionByName(p.withColumn("_axis", F.lit(False)), allowMissingColumns=True)
     spread = with_halo(tall, "valid_time", halo_hours, block_hours)
     if carry is not None:
-        ahead = block_start(F.col(BLOCK), block_hours) - F.make_interval(hours=F.lit(halo_hours + 1))
+        ahead = block_start(BLOCK, block_hours, -(halo_hours + 1) * 3600)
         spread = spread.unionByName(
             carry.withColumns({"valid_time": ahead, "_axis": F.lit(False)}), allowMissingColumns=True
         )
@@ -198,8 +199,8 @@ def price_features(series: DataFrame, start=None, end=None, zones: DataFrame | N
 def forward_fill(dense: DataFrame, cols: list[str], block_hours: int = DEFAULT_BLOCK_HOURS) -> DataFrame:
     """Last known value at or before each row; values from earlier blocks arrive as one carried row per block."""
     carry = carried_last(dense, ["zone"], "valid_time", cols, block_hours)
-    carry = carry.withColumn("valid_time", block_start(F.col(BLOCK), block_hours) - F.expr("interval 1 second"))
-    own = dense.withColumn(BLOCK, block_of(F.col("valid_time"), block_hours))
+    carry = carry.withColumn("valid_time", block_start(BLOCK, block_hours, -1))
+    own = dense.withColumn(BLOCK, block_of("valid_time", block_hours))
     w = Window.partitionBy("zone", BLOCK).orderBy("valid_time").rowsBetween(Window.unboundedPreceding, 0)
     filled = own.unionByName(carry, allowMissingColumns=True).withColumns(
         {c: F.last(c, ignorenulls=True).over(w) for c in cols}
