@@ -371,8 +371,7 @@ def _tight(spark, sf):
 
 
 def threshold_alerts(spark, sf):
-    a, f = R.actuals(spark, sf), R.scored_one(spark, sf)
-    m = metrics.rolling_metrics(a, f).join(metrics.baseline_pinball(a, f, 20), "zone", "left")
+    m = metrics.monitoring_metrics(R.actuals(spark, sf), R.scored_one(spark, sf), 7, 20)
     return out(monitor.threshold_alerts(m, _tight(spark, sf)).drop("reason"), 4)
 
 
@@ -457,17 +456,11 @@ def walk_forward(spark, sf):
 def batch_forecast(spark, sf):
     """Three base models, calibration and blend fitted on the early part, then every zone's last full day."""
     m = _fitted_matrix(spark, sf)
-    config = training.TrainConfig(boost=BOOST, forest=FOREST, cal_days=8, test_days=3, min_labelled=24)
-    early = m.where(F.col("valid_time") < F.lit(dt.datetime(2024, 1, 27)))
-    late = m.where((F.col("valid_time") >= F.lit(dt.datetime(2024, 1, 22))) & (F.col("valid_time") < F.lit(dt.datetime(2024, 1, 27))))
-    models = training.TrainedModels(
-        lgbm=boosting.boosted_fit(early, config=config.boost, cap_half=True),
-        xgb=forest.forest_fit(early, config=config.forest),
-        cat=boosting.categorical_fit(early, config=config.boost), lear=None)
-    raw = materialize(models.base_predictions(late, apply_conformal=False))
-    actual = m.select("zone", "valid_time", F.col("price").alias("y"))
-    models.conformal = materialize(calibrate.conformal_fit(training.long_form(raw, training.BASE).join(actual, ["zone", "valid_time"])))
-    models.blend = materialize(stack.stack_fit(training.widen_intervals(raw, models.conformal).join(actual, ["zone", "valid_time"])))
+    t = F.col("valid_time")
+    early = m.where(t < F.lit(dt.datetime(2024, 1, 27)))
+    late = early.where(t >= F.lit(dt.datetime(2024, 1, 22)))
+    config = training.TrainConfig(boost=BOOST, forest=FOREST, cap_half=True, lear_features=SHORT_LEAR, lear_min_rows=16)
+    models = training.calibrate_and_blend(training.fit_base(early, config), late)
     requests = m.select("zone").distinct().withColumn("date", F.lit(dt.date(2024, 1, 29)))
     answers = forecast.batch_forecast(m, requests, models.predict, "v1", dt.datetime(2024, 1, 28, 12))
     hours = answers.select("zone", "date", F.explode("forecast").alias("h"))

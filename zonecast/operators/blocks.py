@@ -99,8 +99,10 @@ def add_row_position(
     )
 
 
-def last_rows(df: DataFrame, keys: Sequence[str], time: str, n: int,
-              block_hours: int = DEFAULT_BLOCK_HOURS) -> DataFrame:
-    """Last ``n`` rows of each key by time."""
+def last_rows(df: DataFrame, keys: Sequence[str], time: str, n: int, block_hours: int = DEFAULT_BLOCK_HOURS,
+              keep_age: str | None = None) -> DataFrame:
+    """Last ``n`` rows of each key by time; ``keep_age`` names a column with the row's distance from the end."""
     ranked = add_row_position(df, keys, time, "_pos", "_n", block_hours)
-    return ranked.where(F.col("_pos") > F.col("_n") - n).drop("_pos", "_n")
+    age = F.expr("_n - _pos")
+    kept = ranked.where(age < n)
+    return (kept.withColumn(keep_age, age) if keep_age else kept).drop("_pos", "_n")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer, StringIndexer, VectorAssembler
@@ -21,7 +22,7 @@ from zonecast.operators.blocks import BLOCK, block_of, block_prefix
 from zonecast.operators.features import MODEL_FEATURES, scorable
 from zonecast.operators.modeltable import attach
 from zonecast.operators.splits import recency_weights, train_val_split
-from zonecast.session import materialize
+from zonecast.session import materialize, run_together
 
 QUANTILES = {"q05": 0.05, "q50": 0.50, "q95": 0.95}
 CATEGORIES = ["hour", "weekday", "month"]
@@ -182,7 +183,8 @@ def boosted_fit(matrix: DataFrame, label: str = "price", features: Sequence[str]
     rows = _prepare(matrix, cols, label, cap_half)
     zone_index = StringIndexer(inputCol="zone", outputCol="_zone_ix", handleInvalid="keep").fit(rows.select("zone"))
     data = materialize(_assemble(rows, cols, zone_index).select("_x", "y", "w", "is_val"))
-    boosters = {name: fit_booster(data, q, config) for name, q in QUANTILES.items()}
+    fits = run_together([partial(fit_booster, data, q, config) for q in QUANTILES.values()])
+    boosters = dict(zip(QUANTILES, fits))
     if not any(b.trees for b in boosters.values()):
         raise ValueError("No labelled rows")
     return BoostedModel(cols, boosters, zone_index, prefix=prefix)

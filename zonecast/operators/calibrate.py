@@ -22,15 +22,13 @@ def conformal_fit(scored: DataFrame, keys: Sequence[str] = ("zone", "model"), ta
     k = list(keys)
     y, lo, hi = F.col("y"), F.col("q05"), F.col("q95")
     rows = scored.where(S.all_present(y, lo, hi)).select(*k, F.greatest(lo - y, y - hi).alias("score"))
+    # the floating-point path 1 - (1 - coverage) matters where (n + 1) * coverage is a whole number
+    level = f"least(ceil((n + 1) * {1 - (1.0 - target_coverage)!r}D) / n, 1D)"
     # the score is <= 0 exactly where the actual lies inside the closed interval
-    coverage = rows.groupBy(*k).agg(F.avg((F.col("score") <= 0).cast("double")).alias("raw_coverage"))
-    n = F.col("n")
-    # same floating-point path as 1 - (1 - coverage), which matters where (n + 1) * coverage is a whole number
-    level = F.least(F.ceil((n + 1) * F.lit(1 - (1.0 - target_coverage))) / n, F.lit(1.0))
-    found = exact_quantiles(rows, k, "score", {"correction": level})
-    return found.join(coverage, k).select(
+    found = exact_quantiles(rows, k, "score", {"correction": level}, extra={"_inside": "if(_v <= 0, _m, 0)"})
+    return found.select(
         *k, "correction", F.col("n").alias("n_calibration"), F.lit(target_coverage).alias("target_coverage"),
-        "raw_coverage",
+        F.expr("_inside / n").alias("raw_coverage"),
     )
 
 

@@ -49,15 +49,23 @@ def with_naive(actuals: DataFrame, keys: Sequence[str] = ("zone",), lag_rows: in
     return actuals.withColumn("naive", F.lag("y", lag_rows).over(Window.partitionBy(*keys).orderBy("valid_time")))
 
 
-def rolling_metrics(actuals: DataFrame, forecasts: DataFrame, window_days: int = 7) -> DataFrame:
-    """The eight monitoring metrics over each zone's last ``window_days * 24`` actual rows.
+def monitoring_metrics(actuals: DataFrame, forecasts: DataFrame, window_days: int = 7, baseline_days: int = 90) -> DataFrame:
+    """The eight rolling metrics and the baseline median pinball loss of every zone in one pass.
 
-    The slice is cut first; forecasts are reduced to it by a semi join before anything else is shuffled.
+    Both windows are counted in actual rows (``days * 24`` last rows), forecasts are joined where known. Cut the
+    forecasts to a sensible time range before calling when their history is much longer than the baseline.
     """
-    tail = last_rows(actuals.select("zone", "valid_time", "y"), ["zone"], "valid_time", window_days * 24)
-    kept = forecasts.join(tail.select("zone", "valid_time"), ["zone", "valid_time"], "left_semi")
-    scored = on_actual_axis(with_naive(tail), kept.select("zone", "valid_time", "q05", "q50", "q95"))
-    y, lo, mid, hi = F.col("y"), F.col("q05"), F.col("q50"), F.col("q95")
+    window, longest = window_days * 24, max(window_days, baseline_days) * 24
+    tail = last_rows(actuals.select("zone", "valid_time", "y"), ["zone"], "valid_time", longest, keep_age="_age")
+    # at most ``longest`` rows per zone remain; the lag must not look past the rolling window
+    lagged = "lag(y, 24) OVER (PARTITION BY zone ORDER BY valid_time)"
+    tail = tail.withColumn("naive", F.expr(f"if(_age + 24 < {window}, {lagged}, NULL)"))
+    scored = on_actual_axis(tail, forecasts.select("zone", "valid_time", "q05", "q50", "q95"))
+
+    def within(name: str, days: int) -> Column:
+        return F.expr(f"if(_age < {days * 24}, {name}, NULL)")
+
+    y, lo, mid, hi = (within(c, window_days) for c in ("y", "q05", "q50", "q95"))
     out = scored.groupBy("zone").agg(
         S.mae_agg(y, mid).alias("mae_eur"),
         S.mae_agg(y, F.col("naive")).alias("naive_mae_eur"),
@@ -66,13 +74,19 @@ def rolling_metrics(actuals: DataFrame, forecasts: DataFrame, window_days: int =
         S.pinball_agg(y, hi, 0.95).alias("pinball_q95"),
         S.coverage_agg(y, lo, hi).alias("coverage_rate"),
         F.count_if(S.all_present(y, mid)).alias("n_hours"),
+        S.pinball_agg(within("y", baseline_days), within("q50", baseline_days), 0.5).alias("baseline_pinball_q50"),
     )
     return out.withColumn("rmae", S.relative_mae(F.col("mae_eur"), F.col("naive_mae_eur"))).select(
         "zone", "mae_eur", "naive_mae_eur", "rmae", "pinball_q50", "pinball_q05", "pinball_q95", "coverage_rate",
-        "n_hours",
+        "n_hours", "baseline_pinball_q50",
     )
 
 
+def rolling_metrics(actuals: DataFrame, forecasts: DataFrame, window_days: int = 7) -> DataFrame:
+    """The eight monitoring metrics over each zone's last ``window_days * 24`` actual rows."""
+    return monitoring_metrics(actuals, forecasts, window_days, window_days).drop("baseline_pinball_q50")
+
+
 def baseline_pinball(actuals: DataFrame, forecasts: DataFrame, baseline_days: int = 90) -> DataFrame:
     """Median pinball loss over each zone's last ``baseline_days * 24`` actual rows."""
     tail = last_rows(actuals.select("zone", "valid_time", "y"), ["zone"], "valid_time", baseline_days * 24)

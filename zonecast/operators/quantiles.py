@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICES = 64
@@ -23,58 +23,53 @@ def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    levels: dict[str, float | Column],
+    levels: dict[str, str | float],
     slices: int = SLICES,
+    extra: dict[str, str] | None = None,
 ) -> DataFrame:
     """Per key the linear-interpolated quantile of ``value`` at each level, and the count as ``n``.
 
-    A level may be a column over ``n`` (for instance the finite-sample conformal level).
+    A level may be an SQL expression over ``n`` (such as the finite-sample conformal level). ``extra`` are additive
+    sums over the values, written over ``_v`` (value) and ``_m`` (its multiplicity).
     """
     k = list(keys)
-    rows = df.select(*k, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    probs = [i / slices for i in range(1, slices)]
-    cuts = rows.groupBy(*k).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", probs, 10000).alias("_cuts")
-    )
+    extra = extra or {}
+    rows = df.select(*k, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    probs = ", ".join(f"{i / slices}D" for i in range(1, slices))
+    cuts = rows.groupBy(*k).agg(F.expr(f"percentile_approx(_v, array({probs}), 10000)").alias("_cuts"))
     # equal values always share a slice; repeated values collapse before the shuffle
-    slice_no = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col("_v")))
     counted = (
-        rows.join(cuts.select(*k, "_cuts"), k)
-        .select(*k, slice_no.alias("_slice"), "_v")
+        rows.join(cuts, k)
+        .select(*k, F.expr("size(filter(_cuts, c -> c < _v))").alias("_slice"), "_v")
         .groupBy(*k, "_slice", "_v")
         .agg(F.count(F.lit(1)).alias("_m"))
     )
-    sizes = counted.groupBy(*k, "_slice").agg(F.sum("_m").alias("_size"))
-    upto = Window.partitionBy(*k).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(upto), F.lit(0)))
-
-    wanted = cuts.select(
-        *k, "n",
-        F.explode(F.array(*[
-            F.struct(F.lit(name).alias("name"), (lv if isinstance(lv, Column) else F.lit(float(lv))).alias("level"))
-            for name, lv in levels.items()
-        ])).alias("_q"),
-    ).select(*k, "n", "_q.name", ((F.col("n") - 1) * F.col("_q.level")).alias("_pos"))
-    ranks = wanted.select(
-        *k, "n", "name", (F.col("_pos") - F.floor("_pos")).alias("_w"),
-        F.explode(F.array(F.struct(F.floor("_pos").alias("rank"), F.lit(0).alias("side")),
-                          F.struct(F.ceil("_pos").alias("rank"), F.lit(1).alias("side")))).alias("_r"),
-    ).select(*k, "n", "name", "_w", "_r.rank", "_r.side")
-    # at most a handful of slices per key are looked into
-    targets = ranks.join(offsets, k).where(
-        (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_size"))
+    sizes = counted.groupBy(*k, "_slice").agg(
+        F.sum("_m").alias("_size"), *[F.expr(f"sum({e})").alias(n) for n, e in extra.items()]
+    )
+    key = ", ".join(f"`{c}`" for c in k)
+    # one row per slice and key from here on
+    totals = sizes.selectExpr(
+        *k, "_slice", "_size",
+        f"coalesce(sum(_size) OVER (PARTITION BY {key} ORDER BY _slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before",
+        f"sum(_size) OVER (PARTITION BY {key}) AS n", *[f"sum({n}) OVER (PARTITION BY {key}) AS {n}" for n in extra],
     )
-    open_slices = targets.select(*k, "_slice", "_before").distinct()
-    within = Window.partitionBy(*k, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = counted.join(open_slices, [*k, "_slice"]).withColumn("_last", F.col("_before") + F.sum("_m").over(within) - 1)
-    hit = targets.drop("_before", "_size").join(ordered.drop("_before"), [*k, "_slice"]).where(
-        (F.col("rank") <= F.col("_last")) & (F.col("rank") > F.col("_last") - F.col("_m"))
+    places = totals.select("*", *[F.expr(f"(n - 1) * ({e})").alias(f"_at_{name}") for name, e in levels.items()])
+    inside = " OR ".join(
+        f"({end}(_at_{name}) >= _before AND {end}(_at_{name}) < _before + _size)" for name in levels for end in ("floor", "ceil")
     )
-    ends = hit.groupBy(*k, "n", "name", "_w").agg(
-        F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("_lo"),
-        F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("_hi"),
+    # only the slices that hold a wanted order statistic are sorted
+    opened = counted.join(places.where(inside).drop("_size"), [*k, "_slice"])
+    run = f"sum(_m) OVER (PARTITION BY {key}, _slice ORDER BY _v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    ordered = opened.withColumn("_last", F.expr(f"_before + {run} - 1"))
+
+    def picked(name: str, end: str) -> str:
+        return f"max(if({end}(_at_{name}) BETWEEN _last - _m + 1 AND _last, _v, NULL))"
+
+    ends = ordered.groupBy(*k, "n", *extra, *[f"_at_{name}" for name in levels]).agg(
+        *[F.expr(picked(name, end)).alias(f"_{end}_{name}") for name in levels for end in ("floor", "ceil")]
     )
-    value_at = F.col("_lo") + F.col("_w") * (F.col("_hi") - F.col("_lo"))
-    return ends.groupBy(*k, "n").agg(
-        *[F.max(F.when(F.col("name") == name, value_at)).alias(name) for name in levels]
+    return ends.select(
+        *k, "n", *extra,
+        *[F.expr(f"_floor_{n} + (_at_{n} - floor(_at_{n})) * (_ceil_{n} - _floor_{n})").alias(n) for n in levels],
     )

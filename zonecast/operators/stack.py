@@ -47,17 +47,23 @@ def _solve(matrix: list[list[Column]], rhs: list[Column], df: DataFrame) -> tupl
     return df, [F.col(f"_x{i}") for i in range(n)]
 
 
-def ridge_fit(rows: DataFrame, label: str, features: Sequence[str], keys: Sequence[str] = ("zone",), alpha: float = ALPHA) -> DataFrame:
-    """``keys, n, intercept, coef_<feature>...`` with an unpenalised intercept, over complete rows."""
-    f = list(features)
-    complete = rows.na.drop("any", subset=[*f, label])
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg(label).alias("_my")]
-    aggs += [F.avg(c).alias(f"_m{i}") for i, c in enumerate(f)]
-    aggs += [F.covar_pop(f[i], f[j]).alias(f"_c{i}_{j}") for i in range(len(f)) for j in range(i, len(f))]
-    aggs += [F.covar_pop(c, label).alias(f"_b{i}") for i, c in enumerate(f)]
-    moments = complete.groupBy(*keys).agg(*aggs)
+def _moments(features: Sequence[str], label: str, tag: str, complete: str) -> list[Column]:
+    """Count, means and centred second moments over complete rows, named with ``tag``."""
+    f = [f"if({complete}, CAST(`{c}` AS DOUBLE), NULL)" for c in features]
+    y = f"if({complete}, CAST(`{label}` AS DOUBLE), NULL)"
+    named = {f"n{tag}": f"count({y})", f"_my{tag}": f"avg({y})"}
+    named |= {f"_m{i}{tag}": f"avg({f[i]})" for i in range(len(f))}
+    named |= {f"_c{i}_{j}{tag}": f"covar_pop({f[i]}, {f[j]})" for i in range(len(f)) for j in range(i, len(f))}
+    named |= {f"_b{i}{tag}": f"covar_pop({f[i]}, {y})" for i in range(len(f))}
+    return [F.expr(e).alias(n) for n, e in named.items()]
+
+
+def _complete(features: Sequence[str], label: str) -> str:
+    return " AND ".join(f"`{c}` IS NOT NULL" for c in [*features, label])
+
+
+def _ridge(moments: DataFrame, size: int, alpha: float) -> tuple[DataFrame, Column, list[Column]]:
     n = F.col("n")
-    size = len(f)
     matrix = [
         [n * F.col(f"_c{min(i, j)}_{max(i, j)}") + (F.lit(alpha) if i == j else F.lit(0.0)) for j in range(size)]
         for i in range(size)
@@ -66,21 +72,36 @@ def ridge_fit(rows: DataFrame, label: str, features: Sequence[str], keys: Sequen
     intercept = F.col("_my")
     for i in range(size):
         intercept = intercept - coef[i] * F.col(f"_m{i}")
-    return solved.select(*keys, "n", intercept.alias("intercept"), *[coef[i].alias(f"coef_{c}") for i, c in enumerate(f)])
+    return solved, intercept, coef
+
+
+def ridge_fit(rows: DataFrame, label: str, features: Sequence[str], keys: Sequence[str] = ("zone",), alpha: float = ALPHA) -> DataFrame:
+    """``keys, n, intercept, coef_<feature>...`` with an unpenalised intercept, over complete rows."""
+    f = list(features)
+    moments = rows.groupBy(*keys).agg(*_moments(f, label, "", _complete(f, label))).where("n > 0")
+    solved, intercept, coef = _ridge(moments, len(f), alpha)
+    return solved.select(*keys, "n", intercept.alias("intercept"), *[c.alias(f"coef_{name}") for name, c in zip(f, coef)])
 
 
 def stack_fit(base: DataFrame, label: str = "y", models: Sequence[str] = BASE_MODELS, keys: Sequence[str] = ("zone",), alpha: float = ALPHA) -> DataFrame:
-    """One blend per quantile: ``keys, quantile, n, intercept, w_<model>``; absent base models are left out."""
-    out = None
+    """One blend per quantile: ``keys, quantile, n, intercept, w_<model>``; absent base models are left out.
+
+    The moments of all three quantiles come from the same aggregation.
+    """
+    have = {q: [m for m in models if f"{m}_{q}" in base.columns] for q in QUANTILES}
     for q in QUANTILES:
-        have = [m for m in models if f"{m}_{q}" in base.columns]
-        if not have:
+        if not have[q]:
             raise ValueError(f"No base model columns found for {q}")
-        fit = ridge_fit(base, label, base_columns(q, have), keys, alpha).select(
-            *keys, F.lit(q).alias("quantile"), "n", "intercept", *[F.col(f"coef_{m}_{q}").alias(f"w_{m}") for m in have]
-        )
-        out = fit if out is None else out.unionByName(fit, allowMissingColumns=True)
-    return out
+    if any(have[q] != have[QUANTILES[0]] for q in QUANTILES):
+        raise ValueError("Every base model needs all three quantiles")
+    used = have[QUANTILES[0]]
+    aggs = [c for q in QUANTILES for c in _moments(base_columns(q, used), label, f"_{q}", _complete(base_columns(q, used), label))]
+    wide = base.groupBy(*keys).agg(*aggs)
+    names = [c[: -len("_q05")] for c in wide.columns if c.endswith("_q05")]
+    rows = ", ".join(f"struct('{q}' AS quantile, " + ", ".join(f"{n}_{q} AS {n}" for n in names) + ")" for q in QUANTILES)
+    moments = wide.select(*keys, F.expr(f"inline(array({rows}))")).where("n > 0")
+    solved, intercept, coef = _ridge(moments, len(used), alpha)
+    return solved.select(*keys, "quantile", "n", intercept.alias("intercept"), *[c.alias(f"w_{m}") for m, c in zip(used, coef)])
 
 
 def stack_predict(base: DataFrame, fit: DataFrame, models: Sequence[str] = BASE_MODELS, keys: Sequence[str] = ("zone",)) -> DataFrame:

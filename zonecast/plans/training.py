@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.operators import boosting, calibrate, forest, lear, metrics, monitor, splits, stack
-from zonecast.session import materialize
+from zonecast.session import materialize, run_together
 from zonecast.sources import bitemporal, dims
 
 BASE = stack.BASE_MODELS
@@ -25,6 +25,10 @@ class TrainConfig:
     test_days: int = 30
     min_labelled: int = 720
     target_coverage: float = calibrate.TARGET_COVERAGE
+    # keeps at least half of each zone for training when there are few rows
+    cap_half: bool = False
+    lear_features: Sequence[str] = tuple(lear.FEATURES)
+    lear_min_rows: int = lear.MIN_ROWS
 
 
 @dataclass
@@ -62,21 +66,32 @@ def widen_intervals(wide: DataFrame, fit: DataFrame, models: Sequence[str] = tup
     return out.select(*wide.columns)
 
 
-def long_form(wide: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Wide model columns to ``zone, valid_time, model, q05, q50, q95``."""
-    rows = F.array(*[
-        F.struct(F.lit(m).alias("model"), *[F.col(f"{m}_{q}").alias(q) for q in QUANTILES]) for m in models
-    ])
-    return wide.select("zone", "valid_time", F.explode(rows).alias("m")).select("zone", "valid_time", "m.*")
+def long_form(wide: DataFrame, models: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Wide model columns to ``zone, valid_time, [keep,] model, q05, q50, q95``."""
+    rows = ", ".join(f"struct('{m}' AS model, " + ", ".join(f"{m}_{q} AS {q}" for q in QUANTILES) + ")" for m in models)
+    return wide.selectExpr("zone", "valid_time", *keep, f"inline(array({rows}))")
 
 
 def fit_base(train: DataFrame, config: TrainConfig) -> TrainedModels:
-    return TrainedModels(
-        lgbm=boosting.boosted_fit(train, config=config.boost),
-        xgb=forest.forest_fit(train, config=config.forest),
-        cat=boosting.categorical_fit(train, config=config.boost),
-        lear=lear.lear_fit(train),
+    lgbm, xgb, cat, lear_table = run_together([
+        lambda: boosting.boosted_fit(train, config=config.boost, cap_half=config.cap_half),
+        lambda: forest.forest_fit(train, config=config.forest),
+        lambda: boosting.categorical_fit(train, config=config.boost),
+        lambda: lear.lear_fit(train, features=config.lear_features, min_rows=config.lear_min_rows),
+    ])
+    return TrainedModels(lgbm, xgb, cat, lear_table)
+
+
+def calibrate_and_blend(models: TrainedModels, window: DataFrame, target_coverage: float = calibrate.TARGET_COVERAGE) -> TrainedModels:
+    """Fit the conformal corrections on raw predictions of the window, then the blend on the corrected ones."""
+    actual = window.select("zone", "valid_time", F.col("price").alias("y"))
+    raw = materialize(models.base_predictions(window, apply_conformal=False).join(actual, ["zone", "valid_time"]))
+    scored = long_form(raw, BASE, ["y"])
+    models.conformal = materialize(
+        calibrate.require_calibration(calibrate.conformal_fit(scored, target_coverage=target_coverage))
     )
+    models.blend = materialize(stack.stack_fit(widen_intervals(raw, models.conformal), "y"))
+    return models
 
 
 def train(matrix: DataFrame, end: dt.datetime, config: TrainConfig | None = None) -> tuple[TrainedModels, DataFrame]:
@@ -92,19 +107,13 @@ def train(matrix: DataFrame, end: dt.datetime, config: TrainConfig | None = None
 
     models = fit_base(rows["train"], config)
     actual = gold.select("zone", "valid_time", F.col("price").alias("y"))
-    raw = materialize(models.base_predictions(rows["calibration"], apply_conformal=False))
-    scored = long_form(raw, BASE).join(actual, ["zone", "valid_time"])
-    models.conformal = materialize(
-        calibrate.require_calibration(calibrate.conformal_fit(scored, target_coverage=config.target_coverage))
-    )
-    meta = widen_intervals(raw, models.conformal).join(actual, ["zone", "valid_time"])
-    models.blend = materialize(stack.stack_fit(meta, "y"))
+    calibrate_and_blend(models, rows["calibration"], config.target_coverage)
 
     test = rows["test"]
     raw_test = materialize(models.base_predictions(test, apply_conformal=False))
     wide = widen_intervals(raw_test, models.conformal)
     blended = stack.stack_predict(wide, models.blend)
-    lear_rows = lear.lear_predict(test, models.lear).select("zone", "valid_time", *[f"lear_{q}" for q in QUANTILES])
+    lear_rows = lear.lear_predict(test, models.lear, config.lear_features).select("zone", "valid_time", *[f"lear_{q}" for q in QUANTILES])
     everything = (
         long_form(blended, [*BASE, "ens"])
         .unionByName(long_form(lear_rows, ["lear"]))
@@ -119,9 +128,10 @@ def train(matrix: DataFrame, end: dt.datetime, config: TrainConfig | None = None
     return models, report.where(~F.col("model").endswith("_raw")).join(raw_cov, ["zone", "model"], "left")
 
 
-def forecasts_to_store(models: TrainedModels, matrix: DataFrame, knowledge_time) -> DataFrame:
+def forecasts_to_store(models: TrainedModels, matrix: DataFrame, knowledge_time,
+                       lear_features: Sequence[str] = tuple(lear.FEATURES)) -> DataFrame:
     """Calibrated LGBM and LEAR quantiles as versions under one knowledge time, nulls dropped."""
-    wide = lear.lear_predict(matrix, models.lear).select("zone", "valid_time", *[f"lear_{q}" for q in QUANTILES])
+    wide = lear.lear_predict(matrix, models.lear, lear_features).select("zone", "valid_time", *[f"lear_{q}" for q in QUANTILES])
     base = models.base_predictions(matrix).select("zone", "valid_time", *[f"lgbm_{q}" for q in QUANTILES])
     series = {f"{m}_{q}": dims.SERIES[f"{m}_{q}"] for m in ("lgbm", "lear") for q in QUANTILES}
     return bitemporal.forecasts_to_versions(base.join(wide, ["zone", "valid_time"]), series, knowledge_time)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,6 +53,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def run_together(tasks: list) -> list:
+    """Run independent fits from driver threads, so their Spark jobs share the cluster; results keep the order."""
+    if len(tasks) == 1:
+        return [tasks[0]()]
+    run = inheritable_thread_target(SparkSession.active())(lambda t: t())
+    with ThreadPool(len(tasks)) as pool:
+        return pool.map(run, tasks)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage reliably, so a lost executor does not replay an iterative fit."""
     ensure_checkpoint_dir(df.sparkSession)
