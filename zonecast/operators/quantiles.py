@@ -37,10 +37,11 @@ def exact_quantiles(
     rows = df.select(*k, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
     probs = ", ".join(f"{i / slices}D" for i in range(1, slices))
     cuts = rows.groupBy(*k).agg(F.expr(f"percentile_approx(_v, array({probs}), 10000)").alias("_cuts"))
-    # equal values always share a slice; repeated values collapse before the shuffle
+    # equal values always share a slice; repeated values collapse before the shuffle (a slice is never null, which
+    # keeps both uses of this exchange identical, hence shared)
     counted = (
         rows.join(cuts, k)
-        .select(*k, F.expr("size(filter(_cuts, c -> c < _v))").alias("_slice"), "_v")
+        .select(*k, F.expr("coalesce(size(filter(_cuts, c -> c < _v)), 0)").alias("_slice"), "_v")
         .groupBy(*k, "_slice", "_v")
         .agg(F.count(F.lit(1)).alias("_m"))
     )
