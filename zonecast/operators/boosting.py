@@ -67,6 +67,7 @@ class BoostedModel:
     boosters: dict[str, QuantileBooster]
     zone_index: object
     encodings: dict[str, DataFrame] = field(default_factory=dict)
+    prior: DataFrame | None = None
     prefix: str = "lgbm"
 
 
@@ -192,7 +193,7 @@ def boosted_fit(matrix: DataFrame, label: str = "price", features: Sequence[str]
 
 def boosted_predict(matrix: DataFrame, model: BoostedModel) -> DataFrame:
     """Every input row with ``{prefix}_q05/q50/q95``; rows with a missing feature stay unscored."""
-    rows = apply_encodings(matrix, model.encodings)
+    rows = apply_encodings(matrix, model.encodings, model.prior)
     ok = scorable(model.features)
     data = _assemble(rows, model.features, model.zone_index)
     names = []
@@ -251,10 +252,17 @@ def category_means(df: DataFrame, category: str, label: str = "price", keys: Seq
     return df.groupBy(*keys, category).agg(F.avg(label).alias(f"{category}_target"))
 
 
-def apply_encodings(df: DataFrame, encodings: dict[str, DataFrame]) -> DataFrame:
+def apply_encodings(df: DataFrame, encodings: dict[str, DataFrame], prior: DataFrame | None = None) -> DataFrame:
+    """Category means next to the rows; a category never seen in training gets its zone's mean."""
+    if not encodings:
+        return df
+    if prior is not None:
+        df = attach(df, prior, ["zone"])
     for category, table in encodings.items():
         df = attach(df, table, ["zone", category])
-    return df
+        if prior is not None:
+            df = df.withColumn(f"{category}_target", F.coalesce(f"{category}_target", "_prior"))
+    return df.drop("_prior")
 
 
 def categorical_fit(matrix: DataFrame, label: str = "price", config: BoostConfig | None = None, prefix: str = "cat",
@@ -272,4 +280,5 @@ def categorical_fit(matrix: DataFrame, label: str = "price", config: BoostConfig
         encodings[c] = materialize(category_means(rows, c, label))
     model = boosted_fit(encoded, label, [*base, *[f"{c}_target" for c in categories]], config, cap_half=True, prefix=prefix)
     model.encodings = encodings
+    model.prior = materialize(rows.groupBy("zone").agg(F.avg(label).alias("_prior")))
     return model

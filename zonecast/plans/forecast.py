@@ -26,20 +26,19 @@ def history_start(day: dt.date) -> dt.datetime:
 
 
 def requested_rows(matrix: DataFrame, requests: DataFrame) -> DataFrame:
-    """Feature rows of the requested delivery days; every requested day must have exactly 24.
+    """Feature rows of the requested delivery days; raises unless every requested day has exactly 24.
 
     ``matrix`` must reach back over the feature history of the earliest request.
     """
     wanted = requests.select("zone", F.to_date("date").alias("_day")).distinct()
-    rows = matrix.withColumn("_day", F.to_date("valid_time"))
-    counted = rows.join(wanted, ["zone", "_day"], "left_semi").groupBy("zone", "_day").agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
+    rows = matrix.withColumn("_day", F.to_date("valid_time")).join(wanted, ["zone", "_day"], "left_semi")
+    counted = rows.groupBy("zone", "_day").agg(F.count(F.lit(1)).alias("_rows"))
     checked = wanted.join(counted, ["zone", "_day"], "left").withColumn("_rows", F.coalesce("_rows", F.lit(0)))
-    message = F.concat(F.lit("Expected 24 feature rows for "), F.col("zone"), F.lit(" on "), F.col("_day").cast("string"),
-                       F.lit(", got "), F.col("_rows").cast("string"))
-    ok = F.assert_true(F.col("_rows") == 24, message).isNull()
-    return rows.join(checked.where(ok).select("zone", "_day"), ["zone", "_day"]).drop("_day")
+    # an action on purpose: a filter inside the plan would be skipped where a request has no rows at all
+    bad = checked.where(F.col("_rows") != 24).limit(1).collect()
+    if bad:
+        raise ValueError(f"Expected 24 feature rows for {bad[0]['zone']} on {bad[0]['_day']}, got {bad[0]['_rows']}")
+    return rows.drop("_day")
 
 
 def hourly_response(predictions: DataFrame, model_version: str, generated_at=None) -> DataFrame:
