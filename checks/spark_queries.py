@@ -394,7 +394,7 @@ FOREST = forest.ForestConfig(trees=8, max_depth=4, min_leaf=10)
 
 
 def _fitted_matrix(spark, sf):
-    return materialize(R.matrix(spark, sf))
+    return materialize(R.filled_matrix(spark, sf))
 
 
 def target_encoding(spark, sf):

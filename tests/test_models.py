@@ -106,6 +106,13 @@ def test_boosting_learns_and_orders(spark, matrix):
     assert out.where("lgbm_q50 IS NULL").count() == matrix.where("hour = 4").count()
 
 
+def test_fits_without_rows_fail_clearly(spark, matrix):
+    empty = matrix.where("price > 1e9")
+    for fit in (boosting.boosted_fit, forest.forest_fit):
+        with pytest.raises(ValueError, match="No labelled rows"):
+            fit(empty)
+
+
 def test_leaf_quantiles_from_histogram():
     rows = [{"_leaf": 0.0, "_slice": 0.0, "w": 1.0, "lo": 0.0, "hi": 1.0}, {"_leaf": 0.0, "_slice": 1.0, "w": 3.0, "lo": 2.0, "hi": 5.0}]
     assert boosting._weighted_leaf_quantiles(rows, 0.25, 2) == [1.0, 0.0]
@@ -202,8 +209,8 @@ def test_walk_forward_and_quick_evaluation(spark, matrix):
     assert result.reliability.count() == 2 * 2 * 7
     quick = evaluation.quick_evaluation(matrix, predict(matrix, fit(matrix)).withColumn("model", F.lit("m")), start, start + dt.timedelta(days=3))
     assert quick.count() == 2
-    with pytest.raises(ValueError, match="fold"):
-        evaluation.walk_forward(matrix, {"mean": (fit, predict)}, start, start + dt.timedelta(days=5), 20, 7, 7)
+    none = evaluation.walk_forward(matrix, {"mean": (fit, predict)}, start, start + dt.timedelta(days=5), 20, 7, 7)
+    assert none.summary.count() == 0 and none.folds.count() == 0
 
 
 def test_training_row_filters(spark, matrix):

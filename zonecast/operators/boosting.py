@@ -116,7 +116,10 @@ def _cuts(df: DataFrame, col: str) -> list[float]:
 def fit_booster(data: DataFrame, quantile: float, config: BoostConfig) -> QuantileBooster:
     """``data`` has ``_x`` (features), ``y``, ``w`` (weight) and ``is_val``; stops when validation loss stalls."""
     train = ~F.col("is_val")
-    base = data.where(train).approxQuantile("y", [quantile], 0.001)[0]
+    start = data.where(train).approxQuantile("y", [quantile], 0.001)
+    if not start:
+        raise ValueError("No labelled rows with all features")
+    base = start[0]
     booster = QuantileBooster(quantile, base, config.learning_rate)
     current = data.withColumn("_fit", F.lit(base))
     cuts = _cuts(current.where(train).select((F.col("y") - base).alias("r")), "r")
@@ -186,8 +189,6 @@ def boosted_fit(matrix: DataFrame, label: str = "price", features: Sequence[str]
     data = materialize(_assemble(rows, cols, zone_index).select("_x", "y", "w", "is_val"))
     fits = run_together([partial(fit_booster, data, q, config) for q in QUANTILES.values()])
     boosters = dict(zip(QUANTILES, fits))
-    if not any(b.trees for b in boosters.values()):
-        raise ValueError("No labelled rows")
     return BoostedModel(cols, boosters, zone_index, prefix=prefix)
 
 

@@ -49,6 +49,8 @@ def forest_fit(matrix: DataFrame, label: str = "price", features: Sequence[str]
     rows = recency_weights(rows, name="w")
     zone_index = StringIndexer(inputCol="zone", outputCol="_zone_ix", handleInvalid="keep").fit(rows.select("zone"))
     data = materialize(_assemble(rows, cols, zone_index).select("_x", "y", "w"))
+    if data.isEmpty():
+        raise ValueError("No labelled rows with all features")
     forest = RandomForestRegressor(
         featuresCol="_x", labelCol="y", weightCol="w", leafCol="_leaves", predictionCol="_unused",
         numTrees=config.trees, maxDepth=config.max_depth, minInstancesPerNode=config.min_leaf, maxBins=config.max_bins,

@@ -18,6 +18,11 @@ Fit = Callable[[DataFrame], object]
 Predict = Callable[[DataFrame, object], DataFrame]
 
 
+SCORED = (
+    "fold int, model string, zone string, valid_time timestamp, y double, q05 double, q50 double, q95 double"
+)
+
+
 @dataclass
 class EvalResult:
     folds: DataFrame
@@ -52,10 +57,9 @@ def walk_forward(matrix: DataFrame, models: dict[str, tuple[Fit, Predict]], star
                 F.lit(fold["fold"]).alias("fold"), F.lit(name).alias("model"), "zone", "valid_time", "y", "q05", "q50", "q95"
             )
             parts.append(materialize(scored))
-    if not parts:
-        raise ValueError("No usable fold")
-    scored = parts[0]
-    for p in parts[1:]:
+    # without a usable fold all results are empty
+    scored = spark.createDataFrame([], SCORED)
+    for p in parts:
         scored = scored.unionByName(p)
     per_fold = scoring.eval_metrics(scored, ["zone", "fold", "model"], spike_threshold)
     rel = scoring.reliability(scored, ["zone", "fold", "model"])
