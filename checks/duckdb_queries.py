@@ -21,6 +21,10 @@ def rr(names, digits: int = 6) -> str:
     return ", ".join(f"{r(n, digits)} AS {n}" for n in names)
 
 
+def _q(name: str) -> str:
+    return r(f'"{name}"')
+
+
 # --- roles ---------------------------------------------------------------------------------------------------------
 
 EV = """ev AS (SELECT event_id, event_type AS zone, date_trunc('hour', ts)::TIMESTAMP AS valid_time, ts, user_id, value FROM events)"""
@@ -411,4 +415,27 @@ ORACLE = {
  te AS (SELECT d.zone, fold, 'seasonal' AS model, price AS y, q05, q50, q95 FROM d JOIN folds ON valid_time >= test_start AND valid_time < test_end
   JOIN use USING (zone, fold) LEFT JOIN tr ON tr.zone = d.zone AND tr.fold = folds.fold AND tr.h = hour(valid_time))
  SELECT zone, fold, model, {named(EVAL)} FROM te WHERE {P50} GROUP BY 1, 2, 3""",
+    "normalize_prices": f"WITH {S} SELECT valid_time, {r('price')} AS value, zone FROM s",
+    "normalize_load": f"WITH {EV} SELECT valid_time, {r('sum(value)')} AS actual_load, zone FROM ev GROUP BY valid_time, zone",
+    "normalize_generation": f"WITH {FUEL} SELECT valid_time, {', '.join(f'{_q(n)} AS {chr(34)}{n}{chr(34)}' for n in FUELS.values())}, zone FROM fuel",
+    "normalize_crossborder": f"WITH {RFLOW} SELECT valid_time, {r('value_mw')} AS value, from_zone, to_zone FROM rf",
+    "normalize_weather": f"WITH {EV}, {WEATHER} " + " UNION ALL ".join(
+        f"SELECT zone, '{b}' AS variable, valid_time, {r(a)} AS value FROM wx WHERE {a} IS NOT NULL"
+        for a, b in (("temperature", "temperature_2m"), ("wind_speed", "wind_speed_10m"), ("irradiance", "shortwave_radiation"))),
+    "weather_wide": f"""WITH {EV}, {WEATHER} SELECT valid_time, {r('temperature')} AS temperature_2m, {r('wind_speed')} AS wind_speed_10m,
+ {r('irradiance')} AS shortwave_radiation, zone FROM wx WHERE temperature IS NOT NULL""",
+    # Easter by the Meeus/Jones/Butcher steps
+    "holiday_flags": """WITH t AS (SELECT DISTINCT o_orderdate AS valid_time, year(o_orderdate) AS y, month(o_orderdate) * 100 + day(o_orderdate) AS md, isodow(o_orderdate) AS wd FROM orders),
+ p AS (SELECT *, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM t), q AS (SELECT *, (19 * a + b - b // 4 - (8 * b + 13) // 25 + 15) % 30 AS h FROM p),
+ u AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS m FROM q), v AS (SELECT *, h + m - 7 * ((a + 11 * h + 22 * m) // 451) + 114 AS n FROM u),
+ e AS (SELECT *, date_diff('day', make_date(y, n // 31, n % 31 + 1), CAST(valid_time AS DATE)) AS off FROM v)
+ SELECT valid_time, CAST(CASE WHEN md IN (101, 106, 501, 1224, 1225, 1226, 1231) OR off IN (-2, 0, 1, 39, 49) OR (md = 606 AND y >= 2005) OR (off = 50 AND y <= 2004)
+ OR (wd = 6 AND (md BETWEEN 620 AND 626 OR md BETWEEN 1031 AND 1106)) OR (wd = 5 AND md BETWEEN 619 AND 625) THEN 1 ELSE 0 END AS BIGINT) AS is_holiday FROM e""",
+    "scan_window": f"WITH {EV} SELECT event_id, valid_time, {r('value')} AS value FROM ev WHERE zone = 'view' AND valid_time >= TIMESTAMP '2024-01-05' AND valid_time < TIMESTAMP '2024-01-06 12:00'",
+    "explorer_window": f"""WITH {S} SELECT zone, {r('avg(price)')} AS mean, {r('max(price)')} AS max, {r('min(price)')} AS min, {r('stddev_samp(price)')} AS std FROM s
+ WHERE valid_time >= TIMESTAMP '2024-01-05' AND valid_time < TIMESTAMP '2024-01-10' GROUP BY 1""",
+    "naive_mae": f"""WITH {S}, a AS (SELECT zone, price AS y, lag(price, 24) OVER (PARTITION BY zone ORDER BY valid_time) AS naive FROM s)
+ SELECT zone, {r('CASE WHEN count(naive) >= 2 THEN avg(abs(y - naive)) END')} AS naive_mae_eur FROM a GROUP BY 1""",
+    "any_drift": f"WITH {TAIL} SELECT count(*) > 0 AS any_drift FROM alerts",
+    "spike_hours": f"WITH {S} SELECT zone, valid_time, {r('price')} AS price FROM s WHERE price > 100",
 }

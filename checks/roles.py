@@ -159,3 +159,14 @@ def region_flows(spark, sf) -> DataFrame:
         .groupBy(F.col("o_orderdate").cast("timestamp").alias("valid_time"), "from_zone", "to_zone")
         .agg(F.sum("l_quantity").alias("value_mw"))
     )
+
+
+def weather_payload(spark, sf) -> DataFrame:
+    """One payload row per zone and day: time range, step and one array per variable (an entry per hour)."""
+    hourly = X.reindex_hourly(weather(spark, sf), X.WEATHER_COLS)
+    names = {"temperature": "temperature_2m", "wind_speed": "wind_speed_10m", "irradiance": "shortwave_radiation"}
+    day = hourly.groupBy("zone", F.expr("date_trunc('day', valid_time)").alias("day")).agg(
+        F.expr("array_sort(collect_list(struct(unix_seconds(valid_time) AS t, temperature, wind_speed, irradiance)))").alias("h")
+    )
+    return day.selectExpr("zone", "h[0].t AS start_s", "h[size(h) - 1].t + 3600 AS end_s", "CAST(3600 AS BIGINT) AS step_s",
+                          *[f"h.{a} AS {b}" for a, b in names.items()])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks import roles as R
 from zonecast.functions import scores as S
-from zonecast.functions.calendar import add_calendar
+from zonecast.functions.calendar import add_calendar, with_swedish_holiday
 from zonecast.operators import (
     boosting, calibrate, exchange, explain, features, forest, lear, metrics, monitor, pit, quality, scoring, splits, stack,
 )
@@ -467,6 +467,61 @@ def batch_forecast(spark, sf):
     return out(hours.select("zone", F.col("date").cast("string").alias("date"), "h.*"))
 
 
+# --- normalisers, scans and single functions ---
+
+
+def normalize_prices(spark, sf):
+    return out(bronze.normalize_prices(R.dense(spark, sf), value="price"))
+
+
+def normalize_load(spark, sf):
+    dense = features.reindex_hourly(R.load_hourly(spark, sf), ["value_mw"])
+    return out(bronze.normalize_load(dense.select("valid_time", "value_mw", "zone")))
+
+
+def normalize_generation(spark, sf):
+    return out(bronze.normalize_generation(R.fuel_long(spark, sf), list(R.FUELS.values())))
+
+
+def normalize_crossborder(spark, sf):
+    return out(bronze.normalize_crossborder(R.region_flows(spark, sf).withColumnRenamed("value_mw", "value")))
+
+
+def normalize_weather(spark, sf):
+    return out(bronze.normalize_weather(R.weather_payload(spark, sf)))
+
+
+def weather_wide(spark, sf):
+    return out(bronze.weather_wide(bronze.normalize_weather(R.weather_payload(spark, sf))))
+
+
+def holiday_flags(spark, sf):
+    days = R.table(spark, sf, "orders").selectExpr("CAST(o_orderdate AS TIMESTAMP) AS valid_time").distinct()
+    return out(with_swedish_holiday(days))
+
+
+def scan_window(spark, sf):
+    rows = silver.scan_window(R.events(spark, sf), "view", dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 6, 12), ordered=False)
+    return out(rows.select("event_id", "valid_time", "value"))
+
+
+def explorer_window(spark, sf):
+    return out(metrics.price_statistics(silver.between_dates(R.prices(spark, sf), dt.date(2024, 1, 5), dt.date(2024, 1, 9))))
+
+
+def naive_mae(spark, sf):
+    return out(metrics.naive_mae(R.actuals(spark, sf)))
+
+
+def any_drift(spark, sf):
+    rep = monitor.drift_report(R.actuals(spark, sf), R.scored_one(spark, sf), _tight(spark, sf), 7, 20)
+    return out(monitor.any_drift(rep))
+
+
+def spike_hours(spark, sf):
+    return out(R.prices(spark, sf).where(F.col("price") > S.SPIKE_PRICE))
+
+
 QUERIES = {
     f.__name__: f
     for f in [
@@ -481,6 +536,7 @@ QUERIES = {
         stack_predict, recency_weights, train_val_split, expanding_blocks, calendar_split, label_coverage,
         promotion_history, run_delta, retrain_gate, threshold_alerts, drift_report, training_rows,
         target_encoding, walk_forward, lear_models, lear_forecast, quantile_gbt, quantile_forest, contributions,
-        batch_forecast,
+        batch_forecast, normalize_prices, normalize_load, normalize_generation, normalize_crossborder, normalize_weather,
+        weather_wide, holiday_flags, scan_window, explorer_window, naive_mae, any_drift, spike_hours,
     ]
 }

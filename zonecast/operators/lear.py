@@ -64,6 +64,22 @@ def _duality_gap(q: np.ndarray, c: np.ndarray, yy: float, beta: np.ndarray, fit:
     return primal - dual
 
 
+def _exact_on_support(q: np.ndarray, c: np.ndarray, beta: np.ndarray, penalty: float) -> np.ndarray | None:
+    """Solution with the support and signs of ``beta``, if it satisfies the optimality conditions."""
+    on = np.flatnonzero(beta)
+    out = np.zeros(len(c))
+    if len(on):
+        signs = np.sign(beta[on])
+        try:
+            out[on] = np.linalg.solve(q[np.ix_(on, on)], c[on] - penalty * signs)
+        except np.linalg.LinAlgError:
+            return None
+        if not np.all(np.isfinite(out)) or np.any(np.sign(out[on]) != signs):
+            return None
+    slope = np.abs(c - q @ out)
+    return out if slope.max(initial=0.0) <= penalty * (1 + 1e-6) + 1e-9 * np.abs(c).max(initial=0.0) else None
+
+
 def lasso_from_moments(gram: np.ndarray, alpha: float, start: np.ndarray | None = None, max_iter: int = 10_000,
                        tol: float = 1e-4) -> tuple[float, np.ndarray]:
     """Intercept and coefficients minimising ``|y - b0 - Xb|^2 / 2n + alpha |b|_1``; ``gram`` is of (1, X, y)."""
@@ -83,8 +99,13 @@ def lasso_from_moments(gram: np.ndarray, alpha: float, start: np.ndarray | None
             if new != old:
                 beta[j] = new
                 fit += q[:, j] * (new - old)
-        if sweep % 5 == 4 and _duality_gap(q, c, yy, beta, fit, penalty) <= tol * max(yy, 1e-12):
-            break
+        if sweep % 5 == 4:
+            exact = _exact_on_support(q, c, beta, penalty)
+            if exact is not None:
+                beta = exact
+                break
+            if _duality_gap(q, c, yy, beta, fit, penalty) <= tol * max(yy, 1e-12):
+                break
     return float(mean[-1] - mean[:-1] @ beta), beta
 
 

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.functions import scores as S
-from zonecast.operators.blocks import last_rows
+from zonecast.operators.blocks import add_row_position, last_rows
 
 
 def aligned(actuals: DataFrame, forecasts: DataFrame, keys: Sequence[str] = ("zone", "valid_time")) -> DataFrame:
@@ -42,11 +42,16 @@ def point_metrics(scored: DataFrame, keys: Sequence[str] = ("zone",)) -> DataFra
 
 
 def with_naive(actuals: DataFrame, keys: Sequence[str] = ("zone",), lag_rows: int = 24) -> DataFrame:
-    """Same-hour-yesterday value by row position, inside whatever slice is given.
+    """The value ``lag_rows`` rows earlier as ``naive`` (by position, so gaps shift it), for slices of any length."""
+    k = list(keys)
+    ranked = add_row_position(actuals, k, "valid_time")
+    earlier = ranked.select(*k, (F.col("_pos") + lag_rows).alias("_pos"), F.col("y").alias("naive"))
+    return ranked.join(earlier, [*k, "_pos"], "left").drop("_pos", "_n")
 
-    Meant for the short evaluation slices (a week per zone); use the blocked lags for whole histories.
-    """
-    return actuals.withColumn("naive", F.lag("y", lag_rows).over(Window.partitionBy(*keys).orderBy("valid_time")))
+
+def naive_mae(actuals: DataFrame, keys: Sequence[str] = ("zone",)) -> DataFrame:
+    """Error of the same-hour-yesterday forecast; null on fewer than two pairs."""
+    return with_naive(actuals, keys).groupBy(*keys).agg(S.mae_agg(F.col("y"), F.col("naive")).alias("naive_mae_eur"))
 
 
 def monitoring_metrics(actuals: DataFrame, forecasts: DataFrame, window_days: int = 7, baseline_days: int = 90) -> DataFrame:
