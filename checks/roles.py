@@ -74,7 +74,7 @@ def filled_matrix(spark, sf) -> DataFrame:
     """The matrix on gap-filled prices, so that the lags models need are present on sparse data too."""
     ev = events(spark, sf)
     filled = X.forward_fill(X.reindex_hourly(prices(spark, sf, ev), ["price"]), ["price"])
-    return X.build_features(filled, X.forward_fill(X.reindex_hourly(weather(spark, sf, ev), X.WEATHER_COLS), X.WEATHER_COLS))
+    return X.build_features(filled, weather(spark, sf, ev))
 
 
 def forecasts_wide(spark, sf) -> DataFrame:

@@ -295,7 +295,7 @@ def conformal_fit(spark, sf):
 
 def conformal_apply(spark, sf):
     scored = R.scored(spark, sf)
-    return out(calibrate.conformal_apply(scored, calibrate.conformal_fit(scored, target_coverage=0.97)))
+    return out(calibrate.conformal_apply(scored, materialize(calibrate.conformal_fit(scored, target_coverage=0.97))))
 
 
 def quantile_ordering(spark, sf):
@@ -320,7 +320,7 @@ def ridge_stack(spark, sf):
 
 def stack_predict(spark, sf):
     base = _base(spark, sf)
-    scored = stack.stack_predict(base, stack.stack_fit(base))
+    scored = stack.stack_predict(base, materialize(stack.stack_fit(base)))
     return out(scored.select("zone", "valid_time", "ens_q05", "ens_q50", "ens_q95"), 5)
 
 

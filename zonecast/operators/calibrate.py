@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.functions import scores as S
+from zonecast.operators.modeltable import attach
 from zonecast.operators.quantiles import exact_quantiles
 
 TARGET_COVERAGE = 0.90
@@ -39,11 +40,14 @@ def require_calibration(fit: DataFrame) -> DataFrame:
 
 
 def conformal_apply(forecasts: DataFrame, fit: DataFrame, keys: Sequence[str] = ("zone", "model"), apply: bool = True) -> DataFrame:
-    """Widen by a positive correction only; the median never moves; keys without a fit pass unchanged."""
+    """Widen by a positive correction only; the median never moves; keys without a fit pass unchanged.
+
+    ``fit`` should be materialised: it is counted to decide how it is joined.
+    """
     if not apply:
         return forecasts
     k = list(keys)
-    joined = forecasts.join(fit.select(*k, F.greatest("correction", F.lit(0.0)).alias("_c")), k, "left")
+    joined = attach(forecasts, fit.select(*k, F.greatest("correction", F.lit(0.0)).alias("_c")), k)
     c = F.coalesce("_c", F.lit(0.0))
     return joined.withColumns({"q05": F.col("q05") - c, "q95": F.col("q95") + c}).drop("_c").select(*forecasts.columns)
 

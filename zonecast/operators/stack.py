@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.operators.calibrate import order_quantiles
+from zonecast.operators.modeltable import attach
 
 ALPHA = 1.0
 QUANTILES = ["q05", "q50", "q95"]
@@ -105,14 +106,17 @@ def stack_fit(base: DataFrame, label: str = "y", models: Sequence[str] = BASE_MO
 
 
 def stack_predict(base: DataFrame, fit: DataFrame, models: Sequence[str] = BASE_MODELS, keys: Sequence[str] = ("zone",)) -> DataFrame:
-    """Blend and order: adds ``ens_q05, ens_q50, ens_q95``; rows with a missing base value stay null."""
+    """Blend and order: adds ``ens_q05, ens_q50, ens_q95``; rows with a missing base value stay null.
+
+    ``fit`` should be materialised: it is counted to decide how it is joined.
+    """
     k = list(keys)
     have = {q: [m for m in models if f"{m}_{q}" in base.columns and f"w_{m}" in fit.columns] for q in QUANTILES}
     wide = fit.groupBy(*k).agg(
         *[F.max(F.when(F.col("quantile") == q, F.col(c))).alias(f"_{c}_{q}")
           for q in QUANTILES for c in ["intercept", *[f"w_{m}" for m in have[q]]]]
     )
-    out = base.join(wide, k, "left")
+    out = attach(base, wide, k)
     for q in QUANTILES:
         total = F.col(f"_intercept_{q}")
         for m in have[q]:

@@ -36,7 +36,7 @@ def walk_forward(matrix: DataFrame, models: dict[str, tuple[Fit, Predict]], star
                  spike_threshold: float = S.SPIKE_PRICE) -> EvalResult:
     """Refit on every fold's training window and score its test window.
 
-    ``matrix`` should cover ``[start, end)`` with warm lags. A zone joins a fold only with 24 labelled rows on both
+    ``matrix`` should cover ``[start, end)`` with warm lags; pass a stored table, so each fold reads only its months. A zone joins a fold only with 24 labelled rows on both
     sides; folds keep their numbers when some are skipped. The loop runs over folds (a short list), each fit is a
     Spark job over all zones.
     """

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.operators import boosting, calibrate, forest, lear, metrics, monitor, splits, stack
+from zonecast.operators.modeltable import attach
 from zonecast.session import materialize, run_together
 from zonecast.sources import bitemporal, dims
 
@@ -59,7 +60,7 @@ def widen_intervals(wide: DataFrame, fit: DataFrame, models: Sequence[str] = tup
     per_zone = fit.groupBy("zone").agg(
         *[F.max(F.when(F.col("model") == m, F.greatest("correction", F.lit(0.0)))).alias(f"_c_{m}") for m in models]
     )
-    out = wide.join(per_zone, "zone", "left")
+    out = attach(wide, per_zone, ["zone"])
     for m in models:
         c = F.coalesce(f"_c_{m}", F.lit(0.0))
         out = out.withColumns({f"{m}_q05": F.col(f"{m}_q05") - c, f"{m}_q95": F.col(f"{m}_q95") + c})
