@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, simhash
 from .common import table
 
 
@@ -13,8 +13,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"), width=4, radius=4)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE: dict[str, str] = {}
