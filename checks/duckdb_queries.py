@@ -142,7 +142,7 @@ def failing(source: str, cond: str) -> str:
 
 # --- scores --------------------------------------------------------------------------------------------------------
 
-SIGMA = "greatest((q95 - q05) / 3.29, 1e-3)"
+SIGMA = "(CASE WHEN q05 IS NOT NULL AND q95 IS NOT NULL THEN greatest((q95 - q05) / 3.29, 1e-3) END)"
 
 
 def pinball(q: str, f: str) -> str:
@@ -203,11 +203,12 @@ REL = " UNION ALL ".join(
     "SELECT {keys}, %s AS nominal, avg(CASE WHEN y <= q50 + %s * (%r) THEN 1.0 WHEN y > q50 + %s * (%r) THEN 0.0 END) AS observed "
     "FROM {src} WHERE %s GROUP BY ALL" % (p, SIGMA, NormalDist().inv_cdf(p), SIGMA, NormalDist().inv_cdf(p), P50) for p in LEVELS)
 
-# folds: 14 training days, 3 test days, step 3 from 2024-01-01 to 2024-01-31
-FOLDS = """folds AS (SELECT CAST(k AS INTEGER) AS fold, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (3 * k) AS train_start,
- TIMESTAMP '2024-01-15' + INTERVAL 1 DAY * (3 * k) AS train_end, TIMESTAMP '2024-01-15' + INTERVAL 1 DAY * (3 * k) AS test_start,
- TIMESTAMP '2024-01-18' + INTERVAL 1 DAY * (3 * k) AS test_end FROM range(0, 5) t(k))"""
-# the last fold's cut-off is day 28 - 2 = 26; 26 + 3 <= 30 holds for k = 0..4
+# folds: 14 training days, 3 test days, step 3, as long as the test days fit into the days of the series
+FOLDS = """folds AS (SELECT CAST(k AS INTEGER) AS fold, lo + INTERVAL 1 DAY * (3 * k) AS train_start,
+ lo + INTERVAL 1 DAY * (3 * k + 14) AS train_end, lo + INTERVAL 1 DAY * (3 * k + 14) AS test_start,
+ lo + INTERVAL 1 DAY * (3 * k + 17) AS test_end
+ FROM (SELECT date_trunc('day', min(valid_time))::TIMESTAMP AS lo, date_trunc('day', max(valid_time))::TIMESTAMP + INTERVAL 1 DAY AS hi FROM s),
+ range(0, 100000) t(k) WHERE lo + INTERVAL 1 DAY * (3 * k + 17) <= hi)"""
 FSC = SC + ", " + FOLDS + ", fsc AS (SELECT sc.*, fold FROM sc JOIN folds ON valid_time >= test_start AND valid_time < test_end)"
 FM = FSC + f", fm AS (SELECT zone, fold, model, {raw(EVAL)} FROM fsc WHERE {P50} GROUP BY 1, 2, 3)"
 
@@ -403,7 +404,8 @@ ORACLE = {
  SELECT zone, trained_at, latest_price, {r('epoch(latest_price - trained_at) / 86400.0')} AS gap_days, epoch(latest_price - trained_at) / 86400.0 < 7 AS skip FROM a""",
     "threshold_alerts": f"WITH {TAIL} SELECT zone, metric, {r('value', 4)} AS value, {r('threshold', 4)} AS threshold FROM alerts",
     "drift_report": f"""WITH {TAIL}, c AS (SELECT zone, count(*) AS k FROM alerts GROUP BY 1)
- SELECT al.zone, n_hours, coalesce(k, 0) > 0 AS drift_detected, coalesce(k, 0) AS n_alerts, CAST(NULL AS VARCHAR) AS warning FROM al LEFT JOIN c USING (zone)""",
+ SELECT al.zone, 7 AS window_days, 20 AS baseline_days, {", ".join(f"{r(f'round({n}, 4)', 4)} AS {n}" for n in [*POINT, 'naive_mae_eur', 'rmae', 'baseline_pinball_q50'])},
+ n_hours, coalesce(k, 0) > 0 AS drift_detected, coalesce(k, 0) AS n_alerts, CAST(NULL AS VARCHAR) AS warning FROM al LEFT JOIN c USING (zone)""",
     "training_rows": f"""WITH {D}, {matrix('spine')}, m AS ({MATRIX_SELECT}) SELECT zone, valid_time, price, price_lag336h, temp_x_hour FROM m
  WHERE price IS NOT NULL AND temperature IS NOT NULL AND """ + " AND ".join(f"price_lag{h}h IS NOT NULL" for h in LAGS) + " AND price_roll24h IS NOT NULL AND price_roll168h IS NOT NULL",
     "target_encoding": f"""WITH {S} SELECT zone, valid_time, {r('price')} AS price, hour(valid_time) AS hour,

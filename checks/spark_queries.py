@@ -17,7 +17,6 @@ from zonecast.plans import evaluation, forecast, training
 from zonecast.session import materialize
 from zonecast.sources import bitemporal, bronze, dims, gold, silver
 
-FOLD_START, FOLD_END = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 31)
 FOLD = {"train_days": 14, "test_days": 3, "step_days": 3}
 FEATURE_FOR_PIT = ["price_lag24h", "price_roll24h", "hour"]
 
@@ -222,10 +221,7 @@ def spike_analysis(spark, sf):
 
 
 def backtest_table(spark, sf):
-    err = F.col("q50") - F.col("y")
-    rows = R.scored(spark, sf).where(S.all_present(F.col("y"), F.col("q50")))
-    return out(rows.select("zone", "model", "valid_time", F.col("y").alias("actual"), "q50", "q05", "q95",
-                           err.alias("error"), F.abs(err).alias("abs_error")))
+    return out(metrics.backtest_table(R.scored(spark, sf), ["zone", "model"], digits=12))
 
 
 def backtest_kpis(spark, sf):
@@ -266,7 +262,7 @@ def reliability(spark, sf):
 
 
 def _fold_scores(spark, sf):
-    return splits.assign_folds(R.scored(spark, sf), FOLD_START, FOLD_END, **FOLD)
+    return splits.assign_folds(R.scored(spark, sf), *splits.day_range(R.prices(spark, sf)), **FOLD)
 
 
 def fold_metrics(spark, sf):
@@ -285,8 +281,9 @@ def fold_reliability(spark, sf):
 
 def walk_forward_folds(spark, sf):
     df = R.dense(spark, sf)
-    table = splits.walk_forward_folds(spark, FOLD_START, FOLD_END, **FOLD)
-    return out(splits.usable_folds(df, FOLD_START, FOLD_END, **FOLD).join(table, "fold"))
+    days = splits.day_range(R.prices(spark, sf))
+    table = splits.walk_forward_folds(spark, *days, **FOLD)
+    return out(splits.usable_folds(df, *days, **FOLD).join(table, "fold"))
 
 
 def conformal_fit(spark, sf):
@@ -377,7 +374,7 @@ def threshold_alerts(spark, sf):
 
 def drift_report(spark, sf):
     rep = monitor.drift_report(R.actuals(spark, sf), R.scored_one(spark, sf), _tight(spark, sf), 7, 20)
-    return out(rep.select("zone", "n_hours", "drift_detected", F.size("alerts").alias("n_alerts"), "warning"))
+    return out(rep.withColumn("n_alerts", F.size("alerts")).drop("alerts"), 4)
 
 
 def training_rows(spark, sf):
@@ -449,7 +446,7 @@ def _seasonal_predict(test, fitted):
 def walk_forward(spark, sf):
     """Refit per fold: hour-of-day mean and range of the training window."""
     result = evaluation.walk_forward(R.dense(spark, sf), {"seasonal": (_seasonal_fit, _seasonal_predict)},
-                                     FOLD_START, FOLD_END, **FOLD)
+                                     *splits.day_range(R.prices(spark, sf)), **FOLD)
     return out(result.fold_metrics)
 
 

@@ -135,13 +135,33 @@ def metric_row(spark, rmae=0.8, pin=10.0, cov=0.9, n=168, base=10.0, zone=Z):
     ({}, set()), ({"n": 47, "rmae": 9.0}, set()), ({"rmae": 1.2}, set()), ({"rmae": 1.35}, {"rmae"}), ({"rmae": None}, set()),
     ({"pin": 15.0}, set()), ({"pin": 15.1}, {"pinball_q50"}), ({"pin": 99.0, "base": None}, set()), ({"pin": 99.0, "base": 0.0}, set()),
     ({"cov": 0.8}, set()), ({"cov": 0.75}, {"coverage_rate"}), ({"cov": 0.98}, {"coverage_rate"}), ({"cov": None}, set()),
-    ({"rmae": 1.5, "pin": 99.0, "cov": 0.1}, {"rmae", "pinball_q50", "coverage_rate"}), ({"zone": "unknown", "rmae": 9.0}, set()),
+    ({"rmae": 1.5, "pin": 99.0, "cov": 0.1}, {"rmae", "pinball_q50", "coverage_rate"}),
 ])
 def test_thresholds(spark, change, want):
     alerts = monitor.threshold_alerts(metric_row(spark, **change), dims.thresholds(spark)).collect()
     assert {a["metric"] for a in alerts} == want and all(a["reason"] for a in alerts)
 
 
+def test_a_zone_without_thresholds_fails(spark):
+    with pytest.raises(Exception, match="threshold zone"):
+        monitor.threshold_alerts(metric_row(spark, zone="unknown", rmae=0.5), dims.thresholds(spark)).collect()
+
+
+def test_crossed_coverage_limits_raise_one_alert(spark):
+    table = dims.thresholds(spark).withColumns({"coverage_min": F.lit(0.96), "coverage_max": F.lit(0.9)})
+    alerts = monitor.threshold_alerts(metric_row(spark, cov=0.93), table).collect()
+    assert [(a["metric"], a["threshold"]) for a in alerts] == [("coverage_rate", 0.96)]
+
+
+def test_rows_without_a_whole_band_have_no_crps(spark):
+    rows = [(Z, START, 10.0, 0.0, 12.0, 30.0), (Z, START + dt.timedelta(hours=1), 50.0, None, 10.0, 30.0),
+            (Z, START + dt.timedelta(hours=2), 50.0, 5.0, 10.0, None)]
+    whole, broken = (scored(spark, r).withColumn("model", F.lit("m")) for r in (rows[:1], rows))
+    assert close(scoring.eval_metrics(broken).first()["crps"], scoring.eval_metrics(whole).first()["crps"])
+    assert scoring.eval_metrics(broken).first()["mae"] > scoring.eval_metrics(whole).first()["mae"]
+    assert [r["observed"] for r in scoring.reliability(broken).collect()] == [r["observed"] for r in scoring.reliability(whole).collect()]
+
+
 def test_drift_report(spark):
     rng = random.Random(5)
     ys = [rng.uniform(0, 100) for _ in range(24 * 10)]

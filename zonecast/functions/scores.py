@@ -74,15 +74,16 @@ def relative_mae(mae: Column, naive: Column) -> Column:
 
 
 def gaussian_sigma(lo: Column, hi: Column) -> Column:
-    return F.greatest((hi - lo) / 3.29, F.lit(1e-3))
+    """Deviation of the Gaussian with this 90 % band; null if a side is missing (``greatest`` alone skips nulls)."""
+    return null_safe_greatest((hi - lo) / 3.29, F.lit(1e-3))
 
 
 def with_crps(df: DataFrame, y: str = "y", mu: str = "q50", lo: str = "q05", hi: str = "q95", name: str = "crps") -> DataFrame:
-    """Per-row CRPS of the Gaussian with the given median and 90 % band, in small stacked projections.
+    """Per-row CRPS of the Gaussian with the given median and 90 % band, in small stacked projections; null without a band.
 
     The error function is Abramowitz & Stegun 7.1.26 (absolute error below 1.5e-7).
     """
-    df = df.withColumn("_sg", F.expr(f"greatest(({hi} - {lo}) / 3.29, 1e-3)"))
+    df = df.withColumn("_sg", gaussian_sigma(F.col(lo), F.col(hi)))
     df = df.withColumn("_z", F.expr(f"({y} - {mu}) / _sg"))
     df = df.withColumn("_t", F.expr("1 / (1 + 0.3275911D * abs(_z) / sqrt(2D))"))
     poly = "_t * (0.254829592D + _t * (-0.284496736D + _t * (1.421413741D + _t * (-1.453152027D + _t * 1.061405429D))))"

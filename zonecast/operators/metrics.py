@@ -203,13 +203,13 @@ def spike_analysis(scored: DataFrame, keys: Sequence[str] = ("zone",), threshold
     )
 
 
-def backtest_table(scored: DataFrame, keys: Sequence[str] = ("zone",)) -> DataFrame:
+def backtest_table(scored: DataFrame, keys: Sequence[str] = ("zone",), digits: int = 2) -> DataFrame:
     """Detail rows with both sides known, rounded for display."""
     err = F.col("q50") - F.col("y")
     rows = scored.where(S.all_present(F.col("y"), F.col("q50")))
     cols = {"actual": F.col("y"), "q50": F.col("q50"), "q05": F.col("q05"), "q95": F.col("q95"), "error": err,
             "abs_error": F.abs(err)}
-    return rows.select(*keys, "valid_time", *[F.round(c, 2).alias(n) for n, c in cols.items()])
+    return rows.select(*keys, "valid_time", *[F.round(c, digits).alias(n) for n, c in cols.items()])
 
 
 def backtest_kpis(scored: DataFrame, keys: Sequence[str] = ("zone",)) -> DataFrame:

@@ -5,16 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 20_000
 
-
-def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
+def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join a fitted table that is unique on ``keys``.
 
-    The table is counted first (it is already materialised): below the limit it is broadcast, above it the join is
-    left to Spark, which shuffles and splits skewed keys at run time.
+    Spark chooses: it broadcasts what it measures as small in bytes, else it shuffles and splits skewed keys.
     """
-    small = table.limit(limit + 1).count() <= limit
-    return rows.join(F.broadcast(table) if small else table, list(keys), how)
+    return rows.join(table, list(keys), how)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonecast.operators.metrics import monitoring_metrics
-from zonecast.sources.dims import BASELINE_DAYS, WINDOW_DAYS
+from zonecast.sources.dims import BASELINE_DAYS, WINDOW_DAYS, lookup_required
 
 ALERT = "struct<metric:string,value:double,threshold:double,reason:string>"
 
@@ -23,24 +23,25 @@ def _alert(when: Column, metric: str, value: Column, threshold: Column, reason:
 def with_alerts(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Metrics per zone plus ``alerts``; ``baseline_pinball_q50`` may be null. All comparisons are strict.
 
-    Zones with fewer aligned hours than the minimum raise nothing.
+    Zones with fewer aligned hours than the minimum raise nothing; a zone without thresholds fails the job. Coverage
+    below its minimum is not also tested against the maximum.
     """
-    joined = metrics.join(thresholds, "zone", "left")
+    joined = lookup_required(metrics, thresholds, "zone", "min_hours", "threshold zone")
     rmae, pin, cov = F.col("rmae"), F.col("pinball_q50"), F.col("coverage_rate")
     base = F.col("baseline_pinball_q50")
     limit = base * F.col("pinball_q50_multiplier")
     candidates = F.array(
         _alert(rmae > F.col("rmae_max"), "rmae", rmae, F.col("rmae_max"),
-               F.format_string("rMAE %.3f exceeds %.2f: model is %.1f%% worse than the naive baseline.",
+               F.format_string("Relative error %.3f above its limit %.2f; against yesterday's price the error changes by %+.1f%%",
                                rmae, F.col("rmae_max"), (rmae - 1) * 100)),
         _alert((base > 0) & (pin > limit), "pinball_q50", pin, F.round(limit, 4),
-               F.format_string("pinball loss %.2f EUR/MWh exceeds %.1fx the baseline (%.2f EUR/MWh).",
+               F.format_string("Median loss %.2f EUR/MWh, allowed are %.1f times the long-run %.2f EUR/MWh",
                                pin, F.col("pinball_q50_multiplier"), base)),
         _alert(cov < F.col("coverage_min"), "coverage_rate", cov, F.col("coverage_min"),
-               F.format_string("Coverage %.1f%% is below minimum %.0f%%: prediction intervals are too tight.",
+               F.format_string("Bands hold %.1f%% of the prices, at least %.0f%% are wanted; widen them",
                                cov * 100, F.col("coverage_min") * 100)),
-        _alert(cov > F.col("coverage_max"), "coverage_rate", cov, F.col("coverage_max"),
-               F.format_string("Coverage %.1f%% exceeds maximum %.0f%%: prediction intervals are too wide.",
+        _alert(~(cov < F.col("coverage_min")) & (cov > F.col("coverage_max")), "coverage_rate", cov, F.col("coverage_max"),
+               F.format_string("Bands hold %.1f%% of the prices, at most %.0f%% are wanted; narrow them",
                                cov * 100, F.col("coverage_max") * 100)),
     )
     enough = F.col("n_hours") >= F.col("min_hours")
@@ -72,7 +73,7 @@ def drift_report(actuals: DataFrame, forecasts: DataFrame, thresholds: DataFrame
         F.round("baseline_pinball_q50", 4).alias("baseline_pinball_q50"),
         F.when(has, F.col("alerts")).otherwise(F.array().cast(f"array<{ALERT}>")).alias("alerts"),
         (has & (F.size("alerts") > 0)).alias("drift_detected"),
-        F.when(~has, F.lit("No forecast predictions stored yet.")).alias("warning"),
+        F.when(~has, F.lit("This zone has no stored forecast")).alias("warning"),
     )
 
 

@@ -17,7 +17,7 @@ def _valid(scored: DataFrame) -> DataFrame:
 
 
 def eval_metrics(scored: DataFrame, keys: Sequence[str] = ("zone", "model"), spike_threshold: float = S.SPIKE_PRICE) -> DataFrame:
-    """One row per key with a valid pair; spike MAE is null without spikes."""
+    """One row per key with a valid pair; spike MAE is null without spikes, the CRPS covers the rows with a whole band."""
     y, lo, mid, hi = F.col("y"), F.col("q05"), F.col("q50"), F.col("q95")
     hit = F.coalesce(((y >= lo) & (y <= hi)).cast("double"), F.lit(0.0))
     return S.with_crps(_valid(scored), name="_crps").groupBy(*keys).agg(
@@ -30,7 +30,7 @@ def eval_metrics(scored: DataFrame, keys: Sequence[str] = ("zone", "model"), spi
 
 
 def reliability(scored: DataFrame, keys: Sequence[str] = ("zone", "model"), levels: Sequence[float] = tuple(S.NOMINAL_LEVELS)) -> DataFrame:
-    """Observed share at or below each nominal level.
+    """Observed share at or below each nominal level, of the rows with a whole band.
 
     All levels are counted in one aggregation and turned into rows afterwards, so rows are not multiplied by levels.
     """

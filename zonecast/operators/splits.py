@@ -62,6 +62,14 @@ def calendar_split(time: Column, end: dt.datetime | Column, cal_days: int = 90,
     )
 
 
+def day_range(df: DataFrame, time: str = "valid_time") -> tuple[dt.datetime, dt.datetime]:
+    """Start of the first day and end of the last day of a series; two values are all the driver reads."""
+    first, last = df.agg(F.date_trunc("day", F.min(time)), F.date_trunc("day", F.max(time)) + F.expr("interval 1 day")).first()
+    if first is None:
+        raise ValueError("no rows to make folds of")
+    return first, last
+
+
 def fold_count(start: dt.datetime, end: dt.datetime, train_days: int, test_days: int, step_days: int) -> int:
     room = (end - start).total_seconds() / DAY - train_days - test_days
     return 0 if room < 0 else int(room // step_days) + 1
@@ -125,10 +133,6 @@ def usable_folds(df: DataFrame, start: dt.datetime, end: dt.datetime, train_days
     return both.where((F.col("n_train") >= MIN_FOLD_ROWS) & (F.col("n_test") >= MIN_FOLD_ROWS))
 
 
-def usable_fold_keys(df: DataFrame, *args, **kwargs) -> DataFrame:
-    return usable_folds(df, *args, **kwargs).drop("n_train", "n_test")
-
-
 def require_labels(df: DataFrame, keys: Sequence[str] = ("zone",), label: str = "price", minimum: int = 720) -> DataFrame:
     """Labelled rows per key; fewer than ``minimum`` fails the job."""
     counted = df.groupBy(*keys).agg(F.count(label).alias("n_labelled"))
