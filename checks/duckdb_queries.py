@@ -408,6 +408,10 @@ ORACLE = {
  n_hours, coalesce(k, 0) > 0 AS drift_detected, coalesce(k, 0) AS n_alerts, CAST(NULL AS VARCHAR) AS warning FROM al LEFT JOIN c USING (zone)""",
     "training_rows": f"""WITH {D}, {matrix('spine')}, m AS ({MATRIX_SELECT}) SELECT zone, valid_time, price, price_lag336h, temp_x_hour FROM m
  WHERE price IS NOT NULL AND temperature IS NOT NULL AND """ + " AND ".join(f"price_lag{h}h IS NOT NULL" for h in LAGS) + " AND price_roll24h IS NOT NULL AND price_roll168h IS NOT NULL",
+    "boosted_leaves": f"""WITH {S}, k AS (SELECT *, hour(valid_time) >= 12 AS late, row_number() OVER (PARTITION BY zone, hour(valid_time) >= 12 ORDER BY price) AS i,
+ count(*) OVER (PARTITION BY zone, hour(valid_time) >= 12) AS n FROM s),
+ v AS (SELECT zone, late, """ + ", ".join(f"min(price) FILTER (WHERE i >= {q} * n * (1 - 1e-12)) AS q{int(q * 100):02d}" for q in (0.05, 0.5, 0.95)) + f""" FROM k GROUP BY 1, 2)
+ SELECT zone, valid_time, {", ".join(f"{r(q)} AS lgbm_{q}" for q in ("q05", "q50", "q95"))} FROM k JOIN v USING (zone, late)""",
     "target_encoding": f"""WITH {S} SELECT zone, valid_time, {r('price')} AS price, hour(valid_time) AS hour,
  {r('avg(price) OVER (PARTITION BY zone, hour(valid_time) ORDER BY valid_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)')} AS hour_target FROM s""",
     "walk_forward": f"""WITH {D}, {FOLDS}, tr AS (SELECT zone, fold, hour(valid_time) AS h, min(price) AS q05, avg(price) AS q50, max(price) AS q95

@@ -77,6 +77,12 @@ def filled_matrix(spark, sf) -> DataFrame:
     return X.build_features(filled, weather(spark, sf, ev))
 
 
+def observed_matrix(spark, sf) -> DataFrame:
+    """The matrix with lags from gap-filled prices and only observed prices as labels."""
+    inputs = filled_matrix(spark, sf).drop("price")
+    return inputs.join(prices(spark, sf), ["zone", "valid_time"], "left")
+
+
 def forecasts_wide(spark, sf) -> DataFrame:
     """Naive forecasts of four models next to the actual, on the dense axis."""
     return X.price_features(prices(spark, sf))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from zonecast.functions import scores as S
 from zonecast.functions.calendar import add_calendar, with_swedish_holiday
 from zonecast.operators import (
     boosting, calibrate, exchange, explain, features, forest, lear, metrics, monitor, pit, quality, scoring, splits, stack,
+    zoneboost,
 )
 from zonecast.plans import evaluation, forecast, training
-from zonecast.session import materialize
+from zonecast.session import ensure_checkpoint_dir, materialize
 from zonecast.sources import bitemporal, bronze, dims, gold, silver
 
 FOLD = {"train_days": 14, "test_days": 3, "step_days": 3}
@@ -382,16 +384,13 @@ def training_rows(spark, sf):
     return out(rows.select("zone", "valid_time", "price", "price_lag336h", "temp_x_hour"))
 
 
-# --- fitted models (kept small: three boosting rounds, shallow trees) ---
+# --- fitted models at library defaults; the tables hold one month, so validation is capped and LEAR asks for fewer rows ---
 
-SHORT_LEAR = ["price_lag23h", "price_lag24h", "price_lag25h", "price_lag48h", "price_roll24h", "weekday_sin",
-              "weekday_cos", "temperature"]
-BOOST = boosting.BoostConfig(rounds=3, learning_rate=0.3, max_depth=2, min_leaf=20, checkpoint_every=3)
-FOREST = forest.ForestConfig(trees=8, max_depth=4, min_leaf=10)
+LEAR_ROWS = 10
 
 
 def _fitted_matrix(spark, sf):
-    return materialize(R.filled_matrix(spark, sf))
+    return materialize(R.observed_matrix(spark, sf))
 
 
 def target_encoding(spark, sf):
@@ -400,37 +399,46 @@ def target_encoding(spark, sf):
 
 
 def lear_models(spark, sf):
-    models = lear.lear_fit(_fitted_matrix(spark, sf), features=SHORT_LEAR, min_rows=16)
-    return out(models.drop("coef"))
+    return out(lear.lear_fit(_fitted_matrix(spark, sf), min_rows=LEAR_ROWS).drop("coef"))
 
 
 def lear_forecast(spark, sf):
     m = _fitted_matrix(spark, sf)
-    models = lear.lear_fit(m, features=SHORT_LEAR, min_rows=16)
-    scored = lear.lear_predict(m, models, SHORT_LEAR)
+    scored = lear.lear_predict(m, lear.lear_fit(m, min_rows=LEAR_ROWS))
     return out(scored.select("zone", "valid_time", "lear_q05", "lear_q50", "lear_q95"))
 
 
 def quantile_gbt(spark, sf):
+    """All three boosted slots."""
     m = _fitted_matrix(spark, sf)
-    scored = boosting.boosted_predict(m, boosting.boosted_fit(m, config=BOOST, cap_half=True))
-    return out(scored.select("zone", "valid_time", "lgbm_q05", "lgbm_q50", "lgbm_q95"))
+    return out(zoneboost.predict(m, materialize(zoneboost.fit_slots(m, zoneboost.capped())), list(zoneboost.SLOTS)))
+
+
+STUMP = zoneboost.BoostSettings(rounds=1, rate=1.0, depth=1, min_leaf=1, row_share=1.0, column_share=1.0, l1=0.0, l2=0.0,
+                                val_share=0.0, half_life=None)
+
+
+def boosted_leaves(spark, sf):
+    """One tree of one split: each half of the day gets the quantiles of its own prices. Saved, loaded, then scored."""
+    rows = R.prices(spark, sf).withColumn("late", (F.hour("valid_time") >= 12).cast("double"))
+    path = f"{ensure_checkpoint_dir(spark)}/boosted-leaves-{uuid.uuid4().hex}"
+    zoneboost.save(zoneboost.fit(rows, STUMP, features=["late"]), path)
+    return out(zoneboost.predict(rows, zoneboost.load(spark, path)))
 
 
 def quantile_forest(spark, sf):
     m = _fitted_matrix(spark, sf)
-    scored = forest.forest_predict(m, forest.forest_fit(m, config=FOREST))
+    scored = forest.forest_predict(m, forest.forest_fit(m))
     return out(scored.select("zone", "valid_time", "xgb_q05", "xgb_q50", "xgb_q95"))
 
 
 def contributions(spark, sf):
-    """Mean absolute contribution per feature of the forest's median on the row sample."""
+    """Mean absolute contribution per feature of the forest's median over every row it can score."""
     m = _fitted_matrix(spark, sf)
-    model = forest.forest_fit(m, config=FOREST)
-    rows = m.where(features.scorable(model.features))
-    sample = explain.sample_rows(rows.select("zone", "valid_time", *model.features), 100)
+    model = forest.forest_fit(m)
+    rows = m.where(features.scorable(model.features)).select("zone", "valid_time", *model.features)
     values = explain.shapley_values(
-        sample, model.features, lambda d: forest.forest_predict(d, model).withColumn("score", F.col("xgb_q50")), 2)
+        rows, model.features, lambda d: forest.forest_predict(d, model).withColumn("score", F.col("xgb_q50")))
     return out(explain.contribution_summary(values))
 
 
@@ -451,15 +459,15 @@ def walk_forward(spark, sf):
 
 
 def batch_forecast(spark, sf):
-    """Three base models, calibration and blend fitted on the early part, then every zone's last full day."""
+    """Base models on all but the last week, calibration and blend on that week but its last two days, which are asked for."""
     m = _fitted_matrix(spark, sf)
-    t = F.col("valid_time")
-    early = m.where(t < F.lit(dt.datetime(2024, 1, 27)))
-    late = early.where(t >= F.lit(dt.datetime(2024, 1, 22)))
-    config = training.TrainConfig(boost=BOOST, forest=FOREST, cap_half=True, lear_features=SHORT_LEAR, lear_min_rows=16)
-    models = training.calibrate_and_blend(training.fit_base(early, config), late)
-    requests = m.select("zone").distinct().withColumn("date", F.lit(dt.date(2024, 1, 29)))
-    answers = forecast.batch_forecast(m, requests, models.predict, "v1", dt.datetime(2024, 1, 28, 12))
+    t, (_, end) = F.col("valid_time"), splits.day_range(m)
+    fit_end, day = end - dt.timedelta(days=7), end - dt.timedelta(days=2)
+    config = training.TrainConfig(slots=zoneboost.capped(), lear_min_rows=LEAR_ROWS)
+    window = m.where((t >= F.lit(fit_end)) & (t < F.lit(day)))
+    models = training.calibrate_and_blend(training.fit_base(m.where(t < F.lit(fit_end)), config), window)
+    requests = m.select("zone").distinct().withColumn("date", F.lit(day).cast("date"))
+    answers = forecast.batch_forecast(m, requests, models.predict, "v1", day - dt.timedelta(hours=12))
     hours = answers.select("zone", "date", F.explode("forecast").alias("h"))
     return out(hours.select("zone", F.col("date").cast("string").alias("date"), "h.*"))
 
@@ -532,7 +540,7 @@ QUERIES = {
         walk_forward_folds, conformal_fit, conformal_apply, quantile_ordering, base_predictions, ridge_stack,
         stack_predict, recency_weights, train_val_split, expanding_blocks, calendar_split, label_coverage,
         promotion_history, run_delta, retrain_gate, threshold_alerts, drift_report, training_rows,
-        target_encoding, walk_forward, lear_models, lear_forecast, quantile_gbt, quantile_forest, contributions,
+        target_encoding, walk_forward, lear_models, lear_forecast, quantile_gbt, boosted_leaves, quantile_forest, contributions,
         batch_forecast, normalize_prices, normalize_load, normalize_generation, normalize_crossborder, normalize_weather,
         weather_wide, holiday_flags, scan_window, explorer_window, naive_mae, any_drift, spike_hours,
     ]

@@ -1,4 +1,5 @@
 import datetime as dt
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -6,12 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import START, by, close, frame, hours, seeded_prices, synthetic_matrix
-from zonecast.operators import boosting, explain, features, forest, lear
+from zonecast.operators import boosting, explain, features, forest, lear, zoneboost
 from zonecast.operators.modeltable import attach
 from zonecast.plans import evaluation, forecast, training
 
 BOOST = boosting.BoostConfig(rounds=4, learning_rate=0.5, max_depth=3, min_leaf=20, checkpoint_every=2)
 FOREST = forest.ForestConfig(trees=6, max_depth=4, min_leaf=10)
+SLOTS = {p: replace(s, rounds=60, rate=0.1, min_leaf=20) for p, s in zoneboost.capped().items()}
 
 
 @pytest.fixture(scope="module")
@@ -152,16 +154,15 @@ def test_forest_and_shapley(spark, matrix):
     assert explain.row_breakdown(phi, *key, top=15).count() == 15
 
 
-def test_model_table_join_sizes(spark):
+def test_model_table_join(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 2)], "zone string, v int")
     table = spark.createDataFrame([("a", 9.0), ("c", 1.0), ("d", 1.0)], "zone string, w double")
-    for limit in (100, 1):
-        assert by(attach(rows, table, ["zone"], limit=limit), "zone")[("b",)]["w"] is None
+    assert {r.zone: r.w for r in attach(rows, table, ["zone"]).collect()} == {"a": 9.0, "b": None}
 
 
-def test_training_end_to_end(spark, matrix):
+def test_training_end_to_end(spark, matrix, tmp_path):
     end = dt.datetime(2025, 1, 1) + dt.timedelta(hours=1500)
-    config = training.TrainConfig(boost=BOOST, forest=FOREST, cal_days=20, test_days=8, min_labelled=720, cap_half=True, lear_min_rows=30)
+    config = training.TrainConfig(slots=SLOTS, cal_days=20, test_days=8, min_labelled=720, lear_min_rows=30)
     models, report = training.train(matrix, end, config)
     rows = by(report, "zone", "model")
     assert set(rows) == {(z, m) for z in "ab" for m in ("lgbm", "xgb", "cat", "ens", "lear")}
@@ -180,6 +181,10 @@ def test_training_end_to_end(spark, matrix):
     assert stored.count() == tail.count() * 6
 
     day = (end - dt.timedelta(days=1)).date()
+    models.save(f"{tmp_path}/models")
+    again = training.TrainedModels.load(spark, f"{tmp_path}/models")
+    assert sorted(map(tuple, again.predict(tail).collect())) == sorted(map(tuple, models.predict(tail).collect()))
+
     requests = spark.createDataFrame([("a", day), ("b", day)], "zone string, date date")
     good, bad = forecast.split_requests(requests.unionByName(requests.withColumn("date", F.lit(START.date() - dt.timedelta(days=999)))), day - dt.timedelta(days=1))
     assert good.count() == 2 and bad.count() == 2
@@ -213,6 +218,43 @@ def test_walk_forward_and_quick_evaluation(spark, matrix):
     assert none.summary.count() == 0 and none.folds.count() == 0
 
 
+def test_zone_boosting_beats_the_median_and_keeps_its_share(spark, matrix):
+    models = zoneboost.fit_slots(matrix, zoneboost.capped()).persist()
+    rows = {(r.zone, r.prefix, r.quantile): r for r in models.collect()}
+    assert set(rows) == {(z, p, q) for z in "ab" for p in zoneboost.SLOTS for q in ("q05", "q50", "q95")}
+    for r in rows.values():
+        assert 1 <= r.rounds <= len(r.val_loss) <= r.rounds + 50 and r.val_loss[r.rounds - 1] == min(r.val_loss)
+    scored = matrix.join(zoneboost.predict(matrix, models, list(zoneboost.SLOTS)), ["zone", "valid_time"]).persist()
+    assert scored.count() == matrix.count()
+    for p in zoneboost.SLOTS:
+        assert 0.75 < coverage(scored, p) <= 1.0
+        mae, naive = scored.agg(F.avg(F.abs(F.col("price") - F.col(f"{p}_q50"))), F.avg(F.abs(F.col("price") - 50))).first()
+        assert mae < 0.6 * naive
+    top = zoneboost.importance(models).where("quantile = 'q50'").groupBy("feature").agg(F.avg("importance").alias("i"))
+    assert top.orderBy(F.desc("i")).first()["feature"] == "temperature"
+    hole = matrix.withColumn("wind_speed", F.when(F.col("hour") != 4, F.col("wind_speed")))
+    unknown = hole.unionByName(hole.limit(5).withColumn("zone", F.lit("new")))
+    assert zoneboost.predict(unknown, models).where("lgbm_q50 IS NULL").count() == matrix.where("hour = 4").count() + 5
+
+
+def test_zone_boosting_details(spark, matrix):
+    rng = np.random.default_rng(3)
+    leaf, r, w = rng.integers(0, 4, 200), rng.normal(size=200), rng.uniform(0.1, 2, 200)
+    got = zoneboost.leaf_quantiles(leaf, r, w, 0.3, 5)
+    for k in range(4):
+        order = np.argsort(r[leaf == k])
+        ok = np.cumsum(w[leaf == k][order]) >= 0.3 * w[leaf == k].sum()
+        assert got[k] == r[leaf == k][order][ok.argmax()]
+    assert got[4] == 0
+    with pytest.raises(Exception, match="leave none to fit"):
+        zoneboost.fit(matrix.where("hour = 3"), zoneboost.LGBM).collect()
+    frame_ = pd.DataFrame({"c": [1, 1, 2, 1, 2, 3]})
+    y, val = np.array([1.0, 3.0, 5.0, 7.0, 9.0, 11.0]), np.array([False] * 4 + [True] * 2)
+    columns, codes, prior = zoneboost._encoded(frame_, ["c"], y, val)
+    assert prior == 4.0 and columns["c_target"].tolist() == [4.0, 1.0, 4.0, 2.0, 5.0, 4.0]
+    assert {k["code"]: k["mean"] for k in codes} == {1: 11 / 3, 2: 5.0}
+
+
 def test_training_row_filters(spark, matrix):
     hole = matrix.withColumn("price", F.when(F.col("hour") != 1, F.col("price")))
     assert features.training_rows(hole).count() == matrix.where("hour <> 1").count()

@@ -6,10 +6,10 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonecast.operators import boosting, calibrate, forest, lear, metrics, monitor, splits, stack
+from zonecast.operators import calibrate, lear, metrics, monitor, splits, stack, zoneboost
 from zonecast.operators.modeltable import attach
 from zonecast.session import materialize, run_together
 from zonecast.sources import bitemporal, dims
@@ -20,33 +20,40 @@ QUANTILES = stack.QUANTILES
 
 @dataclass
 class TrainConfig:
-    boost: boosting.BoostConfig = field(default_factory=boosting.BoostConfig)
-    forest: forest.ForestConfig = field(default_factory=forest.ForestConfig)
+    slots: dict[str, zoneboost.BoostSettings] = field(default_factory=lambda: dict(zoneboost.SLOTS))
     cal_days: int = 90
     test_days: int = 30
     min_labelled: int = 720
     target_coverage: float = calibrate.TARGET_COVERAGE
-    # keeps at least half of each zone for training when there are few rows
-    cap_half: bool = False
     lear_features: Sequence[str] = tuple(lear.FEATURES)
     lear_min_rows: int = lear.MIN_ROWS
 
 
+PARTS = ("boosted", "lear", "conformal", "blend")
+
+
 @dataclass
 class TrainedModels:
-    lgbm: boosting.BoostedModel
-    xgb: forest.ForestModel
-    cat: boosting.BoostedModel
+    """Fitted tables: boosted slots and LEAR per zone, conformal corrections, blend weights."""
+
+    boosted: DataFrame
     lear: DataFrame
     conformal: DataFrame | None = None
     blend: DataFrame | None = None
 
+    def save(self, path: str) -> None:
+        """One Parquet table per part below ``path``."""
+        for part in PARTS:
+            if (table := getattr(self, part)) is not None:
+                table.write.mode("overwrite").parquet(f"{path}/{part}")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, parts: Sequence[str] = PARTS) -> TrainedModels:
+        return TrainedModels(**{part: spark.read.parquet(f"{path}/{part}") for part in parts})
+
     def base_predictions(self, matrix: DataFrame, apply_conformal: bool = True) -> DataFrame:
-        """``zone, valid_time`` and nine base columns: chained scoring of the same rows, no joins between models."""
-        out = boosting.boosted_predict(matrix, self.lgbm)
-        out = forest.forest_predict(out, self.xgb)
-        out = boosting.boosted_predict(out, self.cat)
-        wide = out.select("zone", "valid_time", *[f"{m}_{q}" for m in BASE for q in QUANTILES])
+        """``zone, valid_time`` and nine base columns; a zone's rows meet all its models once."""
+        wide = zoneboost.predict(matrix, self.boosted, BASE)
         return widen_intervals(wide, self.conformal) if apply_conformal and self.conformal is not None else wide
 
     def predict(self, matrix: DataFrame) -> DataFrame:
@@ -74,13 +81,10 @@ def long_form(wide: DataFrame, models: Sequence[str], keep: Sequence[str] = ())
 
 
 def fit_base(train: DataFrame, config: TrainConfig) -> TrainedModels:
-    lgbm, xgb, cat, lear_table = run_together([
-        lambda: boosting.boosted_fit(train, config=config.boost, cap_half=config.cap_half),
-        lambda: forest.forest_fit(train, config=config.forest),
-        lambda: boosting.categorical_fit(train, config=config.boost),
+    return TrainedModels(*run_together([
+        lambda: materialize(zoneboost.fit_slots(train, config.slots)),
         lambda: lear.lear_fit(train, features=config.lear_features, min_rows=config.lear_min_rows),
-    ])
-    return TrainedModels(lgbm, xgb, cat, lear_table)
+    ]))
 
 
 def calibrate_and_blend(models: TrainedModels, window: DataFrame, target_coverage: float = calibrate.TARGET_COVERAGE) -> TrainedModels:
