@@ -3,7 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from checks import duckdb_queries, spark_queries
+from checks import duckdb_queries, spark_queries, stored_queries
 from checks.compare import difference, duck
 
 SF = "/root/testdata/sf0.001"
@@ -18,6 +18,7 @@ def con():
 def test_every_query_is_registered_once():
     assert set(oracle_sql()) <= set(queries())
     assert set(spark_queries.QUERIES) - set(duckdb_queries.ORACLE) == SLOW
+    assert set(stored_queries.QUERIES) == set(stored_queries.ORACLE)
 
 
 def test_entry(spark):
@@ -25,7 +26,7 @@ def test_entry(spark):
     assert len(df.columns) == 37 and df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(duckdb_queries.ORACLE))
+@pytest.mark.parametrize("name", sorted(duckdb_queries.ORACLE | stored_queries.ORACLE))
 def test_same_rows_as_duckdb(spark, con, name):
     df = queries()[name](spark, SF)
     cur = con.execute(oracle_sql()[name])

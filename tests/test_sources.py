@@ -80,7 +80,7 @@ def test_bronze_days_are_idempotent_and_pruned(spark, tmp_path):
     gen = frame(spark, [DAY], "Solar double", [1.0])
     bronze.bronze_write(gen, root, "generation")
     bronze.bronze_write(frame(spark, [DAY + dt.timedelta(days=1)], "Hydro double", [2.0]), root, "generation")
-    both = bronze.bronze_read_range(spark, root, "generation", DAY.date(), DAY.date() + dt.timedelta(days=1))
+    both = bronze.bronze_read_range(spark, root, "generation", DAY.date(), DAY.date() + dt.timedelta(days=1), merge=True)
     assert {"Solar", "Hydro"} <= set(both.columns) and both.count() == 2
     assert bronze.union_days([df, gen]).count() == 49
 

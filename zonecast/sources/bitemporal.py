@@ -158,6 +158,13 @@ def apply_retention(versions: DataFrame, now: dt.datetime | Column, ttl_days: di
     return versions.where(keep)
 
 
+def rewrite_retained(spark, path: str, target: str, now: dt.datetime | Column, ttl_days: dict[str, int] | None = None) -> None:
+    """Rewrite stored versions without expired rows into the fresh folder ``target``, laid out as ``write_series`` does."""
+    rows = spark.read.schema(SCHEMA + ", ym int").parquet(path)
+    kept = apply_retention(rows, now, ttl_days)
+    kept.hint("rebalance", "series_id", "ym").write.partitionBy("series_id", "ym").parquet(target)
+
+
 def forecasts_to_versions(
     forecasts: DataFrame,
     series: dict[str, int],

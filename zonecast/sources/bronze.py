@@ -51,18 +51,21 @@ def bronze_read_range(
     end: dt.date,
     zone: str | None = None,
     schema: str = "valid_time timestamp, value double, zone string",
+    merge: bool = False,
 ) -> DataFrame:
     """Days ``start`` to ``end`` inclusive; absent days are skipped, an absent type gives an empty frame.
 
-    Type, zone and day are partition columns, so only the wanted day folders are listed and read. Fuel columns may
-    differ from day to day, hence the merged schema.
+    Only the folders of the wanted zone and days are listed. Files are read by ``schema``; ``merge`` takes the union of
+    the columns of those folders instead, for tables whose columns differ from day to day.
     """
+    days = ",".join(str(start + dt.timedelta(days=i)) for i in range((end - start).days + 1))
+    wanted = f"{root}/data_type={data_type}/zone={zone or '*'}/date={{{days}}}"
+    reader = spark.read.option("basePath", root)
     try:
-        df = (
-            spark.read.option("basePath", root)
-            .option("mergeSchema", "true")
-            .parquet(f"{root}/data_type={data_type}")
-        )
+        if merge:
+            df = reader.option("mergeSchema", "true").parquet(wanted)
+        else:
+            df = reader.schema(f"{schema}, data_type string, date date").parquet(wanted)
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -58,6 +58,17 @@ def write_silver(df: DataFrame, path: str, sort_keys: list[str], mode: str = "ov
     )
 
 
+def refresh_table(df: DataFrame, name: str, path: str) -> None:
+    """Rebuild one of the tables from all its cleaned rows, sorted by the table's keys inside each month."""
+    columns, keys = TABLES[name]
+    write_silver(df.select(*[c.split()[0] for c in columns.split(", ")]), path, keys)
+
+
+def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """A table by its declared columns; the month folder ``ym`` is there to prune by."""
+    return spark.read.schema(f"{TABLES[name][0]}, ym int").parquet(path)
+
+
 def create_tables(spark: SparkSession, database: str = "default") -> list[str]:
     """Catalog tables, created only where absent."""
     for name, (cols, _) in TABLES.items():
