@@ -101,8 +101,18 @@ def add_row_position(
 
 def last_rows(df: DataFrame, keys: Sequence[str], time: str, n: int, block_hours: int = DEFAULT_BLOCK_HOURS,
               keep_age: str | None = None) -> DataFrame:
-    """Last ``n`` rows of each key by time; ``keep_age`` names a column with the row's distance from the end."""
-    ranked = add_row_position(df, keys, time, "_pos", "_n", block_hours)
-    age = F.expr("_n - _pos")
-    kept = ranked.where(age < n)
-    return (kept.withColumn(keep_age, age) if keep_age else kept).drop("_pos", "_n")
+    """Last ``n`` rows of each key by time; ``keep_age`` names a column with the row's distance from the end.
+
+    Rows are counted per block; only the last blocks that together hold ``n`` rows are ranked, so a task sees at most
+    ``n`` rows and one block more, whatever the history.
+    """
+    k = list(keys)
+    rows = df.withColumn(BLOCK, block_of(time, block_hours))
+    later = Window.partitionBy(*k).orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.groupBy(*k, BLOCK).agg(F.count(F.lit(1)).alias("_m"))
+    wanted = counted.withColumn("_later", F.coalesce(F.sum("_m").over(later), F.lit(0))).where(F.col("_later") < n)
+    newest = Window.partitionBy(*k).orderBy(F.desc(time))
+    age = keep_age or "_age_of_row"
+    kept = rows.join(wanted.select(*k, BLOCK), [*k, BLOCK]).withColumn(age, (F.row_number().over(newest) - 1).cast("long"))
+    kept = kept.where(F.col(age) < n)
+    return kept.drop(BLOCK) if keep_age else kept.drop(BLOCK, age)

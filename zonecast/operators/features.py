@@ -288,7 +288,8 @@ def inference_features(price: DataFrame, day: dt.date, zones: DataFrame | None =
     """Features of one delivery day from the history window all frames need."""
     start = dt.datetime.combine(day, dt.time()) - dt.timedelta(hours=HISTORY_HOURS)
     end = dt.datetime.combine(day, dt.time()) + dt.timedelta(days=1)
-    zones = price.select("zone").distinct() if zones is None else zones
+    if zones is None:  # those of the window, not of all history
+        zones = _between(price.select("zone", "valid_time"), start, end).select("zone").distinct()
     return delivery_day(build_features(price, start=start, end=end, zones=zones, **sources), day)
 
 

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonecast.operators.blocks import BLOCK, is_core, with_halo
+from zonecast.operators.blocks import BLOCK, block_of
 
 TTL_HOURS = 30 * 24
+BLOCK_HOURS = 7 * 24
 
 
 def point_in_time_join(
@@ -20,24 +21,29 @@ def point_in_time_join(
     time: str = "valid_time",
     ttl_hours: int = TTL_HOURS,
     hourly_features: bool = False,
+    block_hours: int = BLOCK_HOURS,
 ) -> DataFrame:
     """Each entity row with the newest feature row at or before its time and not older than the TTL.
 
     Distinct entity times (not entity rows) are stacked with the features and resolved by one ``last`` window per
-    ``(key, block)``. A feature older than the TTL can never match, so the halo equals the TTL and nothing else has to
-    cross a block border. ``hourly_features`` states that feature times are whole hours; entity times then collapse
-    to hours before the shuffle. Entity columns pass through.
+    ``(key, block)``. Blocks are short; what crosses a border is one row per block, the newest feature before it.
+    ``hourly_features`` states that feature times are whole hours; entity times then collapse to hours before the
+    shuffle. Entity columns pass through.
     """
     ask = F.date_trunc("hour", F.col(time)) if hourly_features else F.col(time)
     asked = entities.withColumn("_ask", ask)
     times = asked.select(key, "_ask").where(F.col(key).isNotNull() & F.col("_ask").isNotNull()).distinct()
     row = F.struct(F.col(time).alias("_feature_time"), *feature_cols)
-    stacked = (
-        with_halo(features.select(key, F.col(time).alias("_ask"), row.alias("_f"), F.lit(0).alias("_who")),
-                  "_ask", ttl_hours, 4 * ttl_hours)
-        .unionByName(with_halo(times.withColumn("_who", F.lit(1)), "_ask", 0, 4 * ttl_hours), allowMissingColumns=True)
-    )
-    # a feature at the very same time is visible, hence features sort first
+    block = block_of("_ask", block_hours).alias(BLOCK)
+    given = features.select(key, F.col(time).alias("_ask"), row.alias("_f")).select("*", F.lit(0).alias("_who"), block)
+    times = times.select("*", F.lit(1).alias("_who"), block)
+    ends = given.groupBy(key, BLOCK).agg(F.max_by("_f", "_ask").alias("_f")).unionByName(
+        times.select(key, BLOCK).distinct(), allowMissingColumns=True).groupBy(key, BLOCK).agg(
+        F.first("_f", ignorenulls=True).alias("_f"))
+    before = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_f", F.last("_f", ignorenulls=True).over(before)).withColumn("_who", F.lit(-1))
+    stacked = given.unionByName(times, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    # the carried row has no time and sorts first; a feature at the very same time is visible, so it sorts before it
     w = (
         Window.partitionBy(key, BLOCK)
         .orderBy("_ask", "_who")
@@ -45,7 +51,7 @@ def point_in_time_join(
     )
     resolved = (
         stacked.withColumn("_f", F.last("_f", ignorenulls=True).over(w))
-        .where((F.col("_who") == 1) & is_core("_ask", 4 * ttl_hours))
+        .where(F.col("_who") == 1)
         .select(key, "_ask", "_f")
     )
     fresh = F.unix_micros(F.col(time)) - F.unix_micros(F.col("_f._feature_time")) <= ttl_hours * 3600 * 1000000
