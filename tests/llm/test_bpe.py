@@ -52,6 +52,22 @@ def test_small_cache_gives_the_same_ids():
     assert [words.encode([t])[0] for t in texts * 2] == bpe.Vocabulary(words.ranks).encode(texts * 2)
 
 
+def test_equal_hashes_of_different_pieces_do_no_harm(monkeypatch):
+    words, texts = bpe.Vocabulary.parse(open(PATH, "rb").read()), ["ab cd", "cd ab ef", "", "ef" * 40]
+    want = words.encode(texts)
+    monkeypatch.setattr(bpe, "_weights_of", lambda n: np.zeros(n, np.uint64))
+    assert words.encode(texts) == want and words.encode([]) == []
+
+
+def test_encode_and_decode_apart(spark, documents):
+    docs = documents(["Two words", None, "é"])
+    coded = bpe.encode(docs, PATH)
+    rows = {r.doc_id: r for r in bpe.decode(coded, PATH, ["doc_id"]).collect()}
+    assert {i: bytes(r.decoded) for i, r in rows.items()} == {0: b"Two words", 1: b"", 2: "é".encode()}
+    first = coded.where("doc_id = 0").first()
+    assert np.frombuffer(first.offsets, "<u4").tolist() == [0, 3]
+
+
 def test_rows(spark, documents):
     texts = ["Hello there's a text\n\n  of two  lines ", None, "", "x" * 200_000 + " end", "Hello again", "Hello again"]
     docs = documents([(i, t) for i, t in enumerate(texts)] + [(4, "Hello again"), (None, "no id")])

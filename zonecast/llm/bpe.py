@@ -19,13 +19,13 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slabs, text_of
 
 #: Characters per numpy pass, and pieces a worker keeps in each of its two cache generations.
-SLAB, CACHE = 1 << 20, 150_000
+SLAB, CACHE = 1 << 19, 100_000
 
 # The code points of Unicode's White_Space property.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
@@ -159,8 +159,8 @@ def boundaries(codes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(automaton().piece_starts(symbols))
 
 
-def split_texts(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
-    """UTF-8 pieces of all texts in a row, and how many each text has."""
+def piece_table(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts, the start and size of every piece in them, and how many pieces each text has."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes + 1) - 1  # the separator after each text
     joined = "\0".join(texts) + "\0"
@@ -171,34 +171,89 @@ def split_texts(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     codes[ends] = 0x110000
     starts = boundaries(codes)
     joined = joined.encode()
-    places = (np.cumsum(widths, dtype=np.int64) - widths)[starts].tolist()
+    places = (np.cumsum(widths, dtype=np.int64) - widths)[starts]
     upto = np.searchsorted(starts, ends)  # separators are pieces of their own
-    pieces, at = [], 0
-    for to in upto.tolist():
-        pieces += map(joined.__getitem__, map(slice, places[at:to], places[at + 1 : to + 1]))
-        at = to + 1
-    return pieces, np.diff(np.concatenate([[-1], upto])) - 1
+    own = np.ones(len(starts), bool)
+    own[upto] = False
+    counts = np.diff(np.concatenate([[-1], upto])) - 1
+    return joined, places[own], np.diff(np.append(places, len(joined)))[own], counts
+
+
+_weights = np.ones(1, np.uint64)
+
+
+def _weights_of(n: int) -> np.ndarray:
+    """Powers of an odd number modulo 2**64."""
+    global _weights
+    if len(_weights) < n:
+        _weights = np.cumprod(np.full(1 << int(n).bit_length(), np.uint64(0x9E3779B97F4A7C15)))
+    return _weights
+
+
+def distinct(joined: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different piece, and for every piece which of those it equals.
+
+    Pieces are grouped by a hash and then compared byte by byte, so equal hashes of different pieces do no harm.
+    """
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    data = np.frombuffer(joined, np.uint8)
+    first = np.cumsum(sizes) - sizes
+    within = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    place = within + np.repeat(starts, sizes)
+    own = data[place]
+    with np.errstate(over="ignore"):
+        weights = _weights_of(int(sizes.max()))
+        hashes = np.add.reduceat((own.astype(np.uint64) + np.uint64(1)) * weights[within], first)
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    at, inverse = np.unique(hashes, return_index=True, return_inverse=True)[1:]
+    same = sizes[at][inverse] == sizes
+    if same.all():
+        same = (data[within + np.repeat(starts[at][inverse], sizes)] == own).all()
+    if not np.all(same):
+        known: dict[bytes, int] = {}
+        pieces = [joined[a:b] for a, b in zip(starts.tolist(), (starts + sizes).tolist())]
+        inverse = np.array([known.setdefault(p, len(known)) for p in pieces])
+        at = np.zeros(len(known), np.int64)
+        at[inverse[::-1]] = np.arange(len(pieces))[::-1]
+    return at, inverse
+
+
+def encoded(texts: list[str], cache: Cache, kind: str) -> list[np.ndarray]:
+    """Ids of each text, from the cache's packed ids (of numpy type ``kind``) of the different pieces among them all."""
+    if not texts:
+        return []
+    joined, starts, sizes, counts = piece_table(texts)
+    at, inverse = distinct(joined, starts, sizes)
+    packed = cache.all_of([joined[a:b] for a, b in zip(starts[at].tolist(), (starts + sizes)[at].tolist())])
+    lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // np.dtype(kind).itemsize
+    pool, begins, own = np.frombuffer(b"".join(packed), kind), np.cumsum(lengths) - lengths, lengths[inverse]
+    before = np.cumsum(own) - own
+    ids = pool[np.repeat(begins[inverse] - before, own) + np.arange(int(own.sum()))]
+    upto = np.concatenate([[0], np.cumsum(own)])[np.cumsum(counts)]
+    return np.split(ids, upto[:-1])
 
 
 class Cache:
-    """Values by piece in two generations of bounded size; ``fresh`` computes those of a list of new pieces."""
+    """Values by piece in two generations of bounded size; ``fresh`` computes those of a list of new, different pieces."""
 
     def __init__(self, fresh, limit: int = CACHE) -> None:
         self.fresh, self.limit, self.young, self.old = fresh, limit, {}, {}
 
     def all_of(self, pieces: list[bytes]) -> list[bytes]:
+        """Values of different pieces."""
         if len(self.young) > self.limit:
             self.young, self.old = {}, self.young
-        new = set(pieces).difference(self.young)
-        if new:
-            known = {p: v for p in new if (v := self.old.get(p)) is not None}
-            self.young.update(known)
-            new = list(new.difference(known))
-            self.young.update(zip(new, self.fresh(new)))
-        out = list(map(self.young.__getitem__, pieces))
-        for p in new:
-            if len(p) > 64:  # pieces of any length are merged, but long ones are not kept
-                del self.young[p]
+        out = list(map(self.young.get, pieces))
+        gaps = [i for i, v in enumerate(out) if v is None]
+        new = []
+        for i in gaps:
+            out[i] = self.old.get(pieces[i])
+            if out[i] is None:
+                new.append(i)
+        for i, value in zip(new, self.fresh([pieces[i] for i in new])):
+            out[i] = value
+        self.young.update((pieces[i], out[i]) for i in gaps if len(pieces[i]) <= 64)  # longer ones are not kept
         return out
 
 
@@ -215,15 +270,19 @@ class Vocabulary:
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.blob = np.frombuffer(b"".join(by_id), np.uint8)
         self.cache = Cache(self.merge_all)
-        pairs = {}
-        for whole, rank in ranks.items():
+        pairs = np.fromiter(self._pairs(), [("key", np.int64), ("rank", np.int32)])
+        pairs.sort(order="key")
+        self.pair_keys, self.pair_ranks = pairs["key"].copy(), pairs["rank"].copy()
+        self.of_byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+
+    def _pairs(self) -> Iterator[tuple[int, int]]:
+        """Every split of a byte sequence into two known ones, as one number, with the rank of the whole."""
+        find, width = self.ranks.get, len(self.lengths)
+        for whole, rank in self.ranks.items():
             for i in range(1, len(whole)):
-                left, right = ranks.get(whole[:i]), ranks.get(whole[i:])
+                left, right = find(whole[:i]), find(whole[i:])
                 if left is not None and right is not None:
-                    pairs[left * width + right] = rank
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ranks = np.array([*map(pairs.__getitem__, self.pair_keys.tolist()), width], np.int32)
-        self.of_byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+                    yield left * width + right, rank
 
     @staticmethod
     def parse(data: bytes) -> Vocabulary:
@@ -317,13 +376,7 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        pieces, counts = split_texts(texts)
-        ids = self.cache.all_of(pieces)
-        out, at = [], 0
-        for n in counts.tolist():
-            out.append(b"".join(ids[at : at + n]))
-            at += n
-        return out
+        return [x.tobytes() for x in encoded(texts, self.cache, "<u4")]
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Byte at which each id's bytes start in the decoded text."""
@@ -349,16 +402,7 @@ def _vocabulary(shared) -> Vocabulary:
     return _READY[key]
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode whole texts: ``id_col``, ``ids`` and ``offsets`` (little-endian unsigned 32-bit integers in a binary).
-
-    ``vocabulary`` is the path of a rank file on the driver; the file (about 1 MB) is broadcast. ``offsets`` has the
-    byte at which each id starts in the text's UTF-8 bytes. Other columns of ``docs`` are ignored; null texts are empty.
-    """
-    with open(vocabulary, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    rows = docs.select(F.col(id_col), text_of(text_col).alias("text"))
-
+def _encoding(shared, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _vocabulary(shared)
         for slab in slabs(batches, "text", SLAB):
@@ -366,34 +410,57 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             at = [words.offsets(np.frombuffer(x, "<u4")).astype("<u4").tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([slab.column(0), pa.array(ids, pa.binary()), pa.array(at, pa.binary())],
                                              names=[id_col, "ids", "offsets"])
+        pa.default_memory_pool().release_unused()  # the worker process lives on
 
-    kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids binary, offsets binary")
+    return run
 
 
-def decode(encoded: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
-    """Bytes of encoded rows: the columns ``keep`` and ``decoded`` (binary); null ids decode to no bytes."""
-    with open(vocabulary, "rb") as f:
-        shared = encoded.sparkSession.sparkContext.broadcast(f.read())
-    rows = encoded.select(*keep, F.coalesce("ids", F.lit(b"")).alias("__ids"),
-                          F.coalesce("offsets", F.lit(b"")).alias("__offsets"))
-
+def _decoding(shared, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _vocabulary(shared)
-        for slab in slabs(batches, "__ids", 2 * SLAB):
-            ids, at = slab.column("__ids").to_pylist(), slab.column("__offsets").to_pylist()
+        for slab in slabs(batches, "ids", 2 * SLAB):
+            ids, at = ([x or b"" for x in slab.column(c).to_pylist()] for c in ("ids", "offsets"))
             text = [words.decode(np.frombuffer(x, "<u4"), np.frombuffer(o, "<u4").astype(np.int64))
                     for x, o in zip(ids, at)]
-            yield pa.RecordBatch.from_arrays([*slab.columns[: len(keep)], pa.array(text, pa.binary())],
+            yield pa.RecordBatch.from_arrays([*[slab.column(c) for c in keep], pa.array(text, pa.binary())],
                                              names=[*keep, "decoded"])
 
+    return run
+
+
+def _shared(spark: SparkSession, vocabulary: str):
+    """The rank file (about 1 MB) as a broadcast."""
+    with open(vocabulary, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    rows = docs.select(F.col(id_col), text_of(text_col).alias("text"))
+    return rows, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}"
+
+
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode whole texts: ``id_col``, ``ids`` and ``offsets`` (little-endian unsigned 32-bit integers in a binary).
+
+    ``vocabulary`` is the path of a rank file on the driver. ``offsets`` has the byte at which each id starts in the
+    text's UTF-8 bytes. Other columns of ``docs`` are ignored; null texts are empty.
+    """
+    rows, kind = _rows(docs, id_col, text_col)
+    return rows.mapInArrow(_encoding(_shared(docs.sparkSession, vocabulary), id_col), f"{kind}, ids binary, offsets binary")
+
+
+def decode(coded: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
+    """Bytes of encoded rows: the columns ``keep`` and ``decoded`` (binary); null ids decode to no bytes."""
+    rows = coded.select(*dict.fromkeys([*keep, "ids", "offsets"]))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, kinds + ", decoded binary")
+    return rows.mapInArrow(_decoding(_shared(coded.sparkSession, vocabulary), keep), kinds + ", decoded binary")
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Encode, decode, and digest both: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    coded = encode(docs, vocabulary)
-    return decode(coded, vocabulary, ["doc_id", "ids"]).select(
+    """Encode, decode, and digest both: doc_id, n_tokens, ids_sha256, decoded_sha256. Both steps run in one worker."""
+    rows, kind = _rows(docs, "doc_id", "text")
+    shared = _shared(docs.sparkSession, vocabulary)
+    there, back = _encoding(shared, "doc_id"), _decoding(shared, ["doc_id", "ids"])
+    return rows.mapInArrow(lambda batches: back(there(batches)), f"{kind}, ids binary, decoded binary").select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -29,7 +29,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Cache, split_texts
+from .bpe import SLAB, Cache, encoded
 from .common import shared_path, slabs, stored, text_of
 
 MAGIC, HEAD, FRAME = b"TKR1", 17, 12
@@ -119,20 +119,37 @@ class Encoder:
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        # A character of a byte-level token stands for one byte.
+        names = self.library.get_vocab(with_added_tokens=False)
+        self.lengths = np.zeros(max(names.values(), default=0) + 1, np.int64)
+        self.lengths[list(names.values())] = [len(x) for x in names]
         self.cache = Cache(self._ask)
 
     def _ask(self, pieces: list[bytes]) -> list[bytes]:
-        got = self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return [np.array(x.ids, f"<u{self.width}").tobytes() for x in got]
+        """Ids of new pieces: those with more than white space in one text, a line each, the others one by one.
+
+        A line feed before and after a piece never joins it, so the library finds the same pieces again.
+        """
+        texts = [p.decode() for p in pieces]
+        lines = [i for i, t in enumerate(texts) if not t.isspace()]
+        blank = [i for i, t in enumerate(texts) if t.isspace()]
+        out: list[bytes] = [b""] * len(pieces)
+        for i, x in zip(blank, self.library.encode_batch_fast([texts[i] for i in blank], add_special_tokens=False)):
+            out[i] = np.array(x.ids, f"<u{self.width}").tobytes()
+        if lines:
+            ids = np.array(self.library.encode_batch_fast(["\n".join([texts[i] for i in lines])], add_special_tokens=False)[0].ids)
+            sizes = np.fromiter((len(pieces[i]) for i in lines), np.int64, len(lines))
+            ends = np.cumsum(sizes + 1) - 1
+            upto = np.cumsum(self.lengths[ids])
+            first, last = np.searchsorted(upto, ends - sizes, side="right"), np.searchsorted(upto, ends, side="left") + 1
+            packed, w = ids.astype(f"<u{self.width}").tobytes(), self.width
+            for i, a, b in zip(lines, (first * w).tolist(), (last * w).tolist()):
+                out[i] = packed[a:b]
+        return out
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        pieces, counts = split_texts(texts)
-        ids, end = self.cache.all_of(pieces), end_id.to_bytes(self.width, "little")
-        out, at = [], 0
-        for n in counts.tolist():
-            out.append(b"".join(ids[at : at + n]) + end)
-            at += n
-        return out
+        end = end_id.to_bytes(self.width, "little")
+        return [x.tobytes() + end for x in encoded(texts, self.cache, f"<u{self.width}")]
 
 
 _READY: dict[int, Encoder] = {}
@@ -163,7 +180,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, shard_r
         files.create_dir(base, recursive=True)
         name, out, at, before = f"{uuid.uuid4().hex}.tokens", None, 8, 0
         try:
-            for slab in slabs(batches, "text", 1 << 20):
+            for slab in slabs(batches, "text", SLAB):
                 if out is None:
                     out = files.open_output_stream(f"{base}/{name}")
                     out.write(MAGIC + coder.width.to_bytes(4, "little"))
@@ -193,14 +210,10 @@ class DamagedRecord(ValueError):
     """A record's length, checksum or header is not what the index says."""
 
 
-def read(index: DataFrame) -> DataFrame:
-    """The records that index rows name, in any order of the rows: doc_id, path, before (ids in the shard), width, ids.
-
-    Both checksums of each record are verified. Index rows in file order are read in one sweep of the file; shuffle the
-    index for a shuffled read.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, source, width = None, None, 0
+def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of the index rows (path, offset, size), one open file at a time, verified."""
+    path, source, width = None, None, 0
+    try:
         for slab in (part for batch in batches for part in _by_size(batch, 1 << 23)):
             payloads, widths = [], []
             lengths, marks, heads = [], [], []
@@ -234,10 +247,19 @@ def read(index: DataFrame) -> DataFrame:
                 [pa.array(ids, pa.int64()), slab.column("path"), pa.array([int.from_bytes(x[9:17], "little") for x in bodies]),
                  pa.array(widths, pa.int32()), pa.array([x[HEAD:] for x in bodies], pa.binary())],
                 names=["doc_id", "path", "before", "width", "ids"])
+    finally:
         if source is not None:
             source.close()
 
-    return index.select("path", "offset", "size").mapInArrow(run, "doc_id long, path string, before long, width int, ids binary")
+
+def read(index: DataFrame) -> DataFrame:
+    """The records that index rows name, in any order of the rows: doc_id, path, before (ids in the shard), width, ids.
+
+    Both checksums of each record are verified. Index rows in file order are read in one sweep of the file; shuffle the
+    index for a shuffled read.
+    """
+    return index.select("path", "offset", "size").mapInArrow(
+        _fetched, "doc_id long, path string, before long, width int, ids binary")
 
 
 def _by_size(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
@@ -249,10 +271,11 @@ def _by_size(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def summary(records: DataFrame) -> DataFrame:
-    """doc_id, path, before, n_tokens and the CRC-32 of the ids as little-endian unsigned 32-bit integers."""
+def summary(index: DataFrame) -> DataFrame:
+    """Of the records read: doc_id, path, before, n_tokens, CRC-32 of the ids as little-endian unsigned 32-bit integers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        _READY.clear()  # an encoder that this worker wrote with
+        for batch in _fetched(batches):
             ids = [np.frombuffer(x, f"<u{w}").astype("<u4") for x, w in
                    zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist())]
             yield pa.RecordBatch.from_arrays(
@@ -260,13 +283,14 @@ def summary(records: DataFrame) -> DataFrame:
                  pa.array([zlib.crc32(x) for x in ids], pa.int64())],
                 names=["doc_id", "path", "before", "n_tokens", "ids_crc32"])
 
-    return records.mapInArrow(run, "doc_id long, path string, before long, n_tokens long, ids_crc32 long")
+    return index.select("path", "offset", "size").mapInArrow(
+        run, "doc_id long, path string, before long, n_tokens long, ids_crc32 long")
 
 
 def report(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
     """Write and read back: doc_id, start (ids of all documents before), n_tokens, ids_crc32."""
     index = write(docs, tokenizer, folder or shared_path(docs.sparkSession, "token-records"))
-    got = stored(summary(read(index)), "token-records-read")
+    got = stored(summary(index), "token-records-read")
     # One row per shard: their order is that of their first documents.
     shards = got.groupBy("path").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("first"),
                                      F.sum("n_tokens").alias("total"))
