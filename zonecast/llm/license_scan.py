@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-DRIFT, SHARE, STRETCH = 2, 0.7, 1.5
+#: Diagonals apart that still merge, share of the pairs that a notice must exceed (similar notices differ in a word), and
+#: how much longer than the notice its span may be.
+DRIFT, SHARE, STRETCH = 2, 0.8, 1.5
 
 # The phrases of the base labels.
 PHRASES = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
@@ -102,7 +104,7 @@ def spans(votes: DataFrame, drift: int = DRIFT, share: float = SHARE, stretch: f
                    F.bit_count(F.bit_or("seen")).alias("got")))
     part = F.col("got") / F.col("pairs")
     fits = F.col("stop") - F.col("start") <= stretch * (F.col("pairs") + 1)
-    accepted = F.when(F.col("phrase"), F.col("got") == F.col("pairs")).otherwise((part >= share) & fits)
+    accepted = F.when(F.col("phrase"), F.col("got") == F.col("pairs")).otherwise((part > share) & fits)
     return merged.withColumn("part", part).withColumn("accepted", F.coalesce(accepted, F.lit(False)))
 
 
@@ -149,7 +151,7 @@ merged AS (
   FROM islands GROUP BY ALL),
 accepted AS (
   SELECT * FROM merged WHERE CASE WHEN phrase THEN got = pairs
-                             ELSE got / pairs >= {SHARE} AND stop - start <= {STRETCH} * (pairs + 1) END)
+                             ELSE got / pairs > {SHARE} AND stop - start <= {STRETCH} * (pairs + 1) END)
 SELECT t.doc_id, len(t.words)::BIGINT AS n_words, count(*) FILTER (phrase)::BIGINT AS n_base,
        (min(diagonal) FILTER (phrase))::BIGINT AS first_word, (max(diagonal) FILTER (phrase))::BIGINT AS last_word,
        coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (phrase))), ','), '') AS base_labels,
