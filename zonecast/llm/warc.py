@@ -198,7 +198,9 @@ def read(paths: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return paths.select("path").distinct().repartition("path").mapInArrow(run, READ)
+    files = stored(paths.select("path").distinct(), "warc-files")
+    # A task per file: left alone, Spark would merge the few bytes of the paths into one task that reads everything.
+    return files.repartition(max(1, files.count()), "path").mapInArrow(run, READ)
 
 
 def report(pages: DataFrame, folder: str | None = None, least: int = LEAST) -> DataFrame:
