@@ -64,9 +64,11 @@ def test_edges(spark):
 
 
 def test_large_components_stay_exact():
-    q, x = np.array([[2.0**40, 3.0]]), np.array([[2.0**30, 1.0], [2.0**30, 2.0], [-1.0, 5.0]])
-    got = [tuple(map(np.ndarray.tolist, p)) for p in K.best_of(np.array([9]), q, np.array([3, 1, 2]), x, 2)]
-    assert got == [([9, 9], [1, 3], [2**70 + 6, 2**70 + 3])] or got[0][1] == [1, 3]
+    x = np.array([[2.0**20, 1.0], [2.0**20, 2.0], [-1.0, 5.0]])
+    for big, held in ((2.0**35, 2**55), (2.0**62, None)):
+        (queries, found, scores), = K.best_of(np.array([9]), np.array([[big, 3.0]]), np.array([3, 1, 2]), x, 2)
+        assert queries.tolist() == [9, 9] and found.tolist() == [1, 3]
+        assert scores.tolist() == ([held + 6, held + 3] if held else [2**63 - 1] * 2)
 
 
 def test_same_as_sql(spark):

@@ -7,7 +7,8 @@ above, q.p + |q| d, reaches that. Groups and cells are cut into blocks of bounde
 solved locally by a matrix product, and the best of all blocks are ranked. A crowded cell only has more blocks.
 
 Vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows with a null id; repeated
-rows count once. Vectors of another length than the pivots' are compared among themselves, by length.
+rows count once. Vectors of another length than the pivots' are compared among themselves, by length. Components and
+scores beyond 64 bits are held at the ends of that range; scores are ranked exactly before.
 """
 
 from __future__ import annotations
@@ -136,8 +137,10 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
         take = min(k, n)
         best = np.argpartition(-key, take - 1, axis=1)[:, :take] if exact is not object else np.argsort(-key, axis=1)[:, :take]
         keep = ~np.take_along_axis(own_place, best, 1)
-        yield (np.repeat(own, keep.sum(1)), ids[best][keep],
-               np.take_along_axis(score, best, 1)[keep].astype(np.int64))
+        top_scores = np.take_along_axis(score, best, 1)[keep]
+        if exact is object:
+            top_scores = np.clip(top_scores, -(2**63), 2**63 - 1)
+        yield np.repeat(own, keep.sum(1)), ids[best][keep], top_scores.astype(np.int64)
 
 
 def solve(k: int):
