@@ -27,7 +27,7 @@ from .common import slabs, stored, text_of
 from .components import components
 
 #: Fingerprints sharing a half variant up to which they are compared with each other.
-CROWD = 32
+CROWD = 8
 
 
 def fingerprint(text: bytes, width: int, seed: int = 42) -> int:
@@ -91,7 +91,8 @@ def links(fps: DataFrame, radius: int = 4, crowd: int = CROWD) -> DataFrame:
     shared = stored(met.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
                     .where("n > 1"), "shared-halves")
     pairs = shared.where("n = 2").select("a", "b")
-    more = stored(met.join(shared.where("n > 2").select("key", "n"), "key"), "met-halves")
+    # The table of shared halves grows with the data, so it is never broadcast.
+    more = stored(met.join(shared.where("n > 2").select("key", "n").hint("merge"), "key"), "met-halves")
     few = more.where(F.col("n") <= crowd).select("key", "fp")
     right = few.select("key", F.col("fp").alias("b"))
     compared = few.withColumnRenamed("fp", "a").join(right, "key").where("a < b").select("a", "b")
@@ -99,7 +100,8 @@ def links(fps: DataFrame, radius: int = 4, crowd: int = CROWD) -> DataFrame:
     ball = crowded.select("fp", F.explode(_flipped(F.col("fp"), masks(64, radius // 2))).alias("key"))
     centre = ball.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
     centre = stored(centre, "centres")  # a table on both sides of the join lets Spark split a crowded variant
-    hung = ball.join(centre, "key").select(F.col("fp").alias("a"), "b").where("a <> b")
+    # Spark takes the exploded balls for as small as the fingerprints, so the join is told not to broadcast them.
+    hung = ball.hint("merge").join(centre, "key").select(F.col("fp").alias("a"), "b").where("a <> b")
     found = reduce(DataFrame.unionByName, [pairs, compared, hung])
     return found.where(near("a", "b", radius)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
