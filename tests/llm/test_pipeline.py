@@ -53,7 +53,7 @@ def test_one_document_of_each_group_stays(stages):
     assert texts(stages[2]) == {i: docs[i] for i in set(groups.values())}
 
 
-def test_secrets_are_replaced(stages):
+def test_secrets_are_replaced(spark, stages, documents):
     before, after = texts(stages[2]), {r.doc_id: r for r in stages[3].collect()}
     assert set(before) == set(after)
     listed = {r.doc_id: r.spans for r in secrets.report(stages[2]).collect()}
@@ -63,7 +63,9 @@ def test_secrets_are_replaced(stages):
         for a, _, b in spans:
             assert t[a:b] not in after[i].text
         assert after[i].n_chars == len(after[i].text)
-    assert any("[secret]" in r.text for r in after.values())
+    planted = documents(['say token = "0641917ea4e9feb9cda83477b57ac2654884f485" here', "clean", None])
+    got = {r.doc_id: (r.text, r.n_chars) for r in P.secret_scan(spark, planted, SF).collect()}
+    assert got == {0: ('say [secret]" here', 18), 1: ("clean", 5), 2: (None, None)}
 
 
 def test_mixture_repeats_small_sources(stages):
