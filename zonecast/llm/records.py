@@ -29,12 +29,14 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import SLAB, Cache, encoded
+from .bpe import Cache, encoded
 from .common import shared_path, slabs, stored, text_of
 
 MAGIC, HEAD, FRAME = b"TKR1", 17, 12
 #: Rows of a shard, and bytes of a checksum lane.
 SHARD_ROWS, LANE = 8_000, 256
+#: Characters encoded at once, and pieces in each of the two generations of a worker's cache.
+SLAB, CACHE = 1 << 20, 250_000
 
 
 @lru_cache(1)
@@ -123,7 +125,7 @@ class Encoder:
         names = self.library.get_vocab(with_added_tokens=False)
         self.lengths = np.zeros(max(names.values(), default=0) + 1, np.int64)
         self.lengths[list(names.values())] = [len(x) for x in names]
-        self.cache = Cache(self._ask)
+        self.cache = Cache(self._ask, CACHE)
 
     def _ask(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of new pieces: those with more than white space in one text, a line each, the others one by one.
