@@ -96,7 +96,9 @@ def links(fps: DataFrame, radius: int = 4, crowd: int = CROWD) -> DataFrame:
     few = more.where(F.col("n") <= crowd).select("key", "fp")
     right = few.select("key", F.col("fp").alias("b"))
     compared = few.withColumnRenamed("fp", "a").join(right, "key").where("a < b").select("a", "b")
-    crowded = more.where(F.col("n") > crowd).select("fp").distinct()
+    crowded = stored(more.where(F.col("n") > crowd).select("fp").distinct(), "crowded")
+    # Dealt evenly, as every row becomes thousands.
+    crowded = crowded.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ball = crowded.select("fp", F.explode(_flipped(F.col("fp"), masks(64, radius // 2))).alias("key"))
     centre = ball.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
     centre = stored(centre, "centres")  # a table on both sides of the join lets Spark split a crowded variant
