@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from zonecast.llm import secrets as S
@@ -61,6 +62,24 @@ def test_random_strings_are_added_and_words_are_not(spark, documents):
     assert sum("random" in r.spans for i, r in got.items() if i not in planted) <= 1
 
 
+@pytest.mark.parametrize("secrets, run", [(100, 0), (400, 0), (20, 3000)])
+def test_secrets_and_long_runs_do_not_hide_secrets(spark, documents, secrets, run):
+    rng = random.Random(5)
+
+    def drawn(n):
+        return "".join(rng.choice(S.ALPHABETS[5]) for _ in range(n))
+
+    words = ["a plain sentence about /some/ordinary/path/Names and InternationalWords " * 3] * 60
+    got = found(spark, documents(words + [f"x {drawn(40)} y" for _ in range(secrets)] + [drawn(run)] * bool(run)))
+    hit = sum(got[60 + i].spans == "random:2:42" for i in range(secrets))
+    assert hit >= 0.9 * secrets
+    assert not any("random" in got[i].spans for i in range(60))
+    # One very long run of no secret either.
+    letters = "".join(rng.choice("etaoinshr") for _ in range(20_000)) + "A"
+    got = found(spark, documents([letters, *[f"x {drawn(40)} y" for _ in range(20)]]))
+    assert "random" not in got[0].spans and sum("random" in got[1 + i].spans for i in range(20)) >= 18
+
+
 def test_redaction(spark, documents):
     docs = documents(["ab secret=abcdef cd", "nothing", "", "token=" + "a" * 30 + "."])
     rows = S.find(docs, ["doc_id", "text"]).select("row.doc_id", S.redacted(F.col("row.text"), "spans").alias("t")).collect()
