@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, knn_join, license_scan, mixing, quality_trees, records, secrets, simhash, toxicity, warc
+from . import (
+    bpe, fill_middle, knn_join, license_scan, mixing, quality_trees, records, secrets, simhash, spellings, suffixes, toxicity,
+    warc,
+)
 from .common import table
 
 
@@ -50,6 +53,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"), width=4, radius=4)
 
 
+def op11_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.report(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_knn_join": op2_knn_join,
@@ -61,6 +76,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash": op10_simhash,
+    "op11_suffix_decontamination": op11_suffix_decontamination,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 #: The others have no SQL; tests compare them with brute force, round trips or held-out labels.
@@ -69,4 +87,6 @@ ORACLE = {
     "op6_license_scan": license_scan.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
     "op8_warc": warc.ORACLE,
+    "op11_suffix_decontamination": suffixes.ORACLE,
+    "op13_fill_middle": fill_middle.ORACLE,
 }
