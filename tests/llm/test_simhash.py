@@ -113,6 +113,38 @@ def test_rows(spark, documents):
     assert simhash.report(docs.limit(0), 4, 4).collect() == []
 
 
+def test_large_clouds_of_near_copies(spark):
+    """Clouds whose members lie up to eight bits apart, two of them touching in one pair only."""
+    rng = random.Random(12)
+    flipped = lambda x, d: x ^ sum(1 << b for b in rng.sample(range(64), d))
+    centres = [rng.getrandbits(64) for _ in range(3)]
+    fps = {flipped(c, rng.randint(0, 4)) for c in centres for _ in range(150)}
+    far = flipped(centres[0], 9)
+    fps |= {flipped(far, rng.randint(0, 3)) for _ in range(60)}
+    nodes = sorted(fps)
+    want = plain_components(list(enumerate(nodes)))
+    docs = spark.createDataFrame([(signed(x),) for x in nodes], "fp long")
+    for crowd in (0, 3, 8):
+        got = {r.node: r.root for r in components(simhash.links(docs, 4, crowd)).collect()}
+        groups = {}
+        for i, x in enumerate(nodes):
+            groups.setdefault(got.get(signed(x), signed(x)), set()).add(want[i])
+        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
+
+
+def test_one_row_of_each_group(spark, documents):
+    base = " ".join(f"word{i}" for i in range(300))
+    other = " ".join(f"other{i}" for i in range(300))
+    rows = [(4, base), (9, base + " tail"), (9, other), (9, other), (4, other + " x"), (None, base), (None, "alone of all here"),
+            (None, None), (3, ""), (3, "")]
+    docs = documents(rows).withColumn("key", F.lit(1)).withColumn("row", F.lit("r")).withColumn("fp", F.lit(2))
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(
+        map(str, [(4, base), (4, other + " x"), (None, "alone of all here"), (3, "")]))
+    assert simhash.one_of_each(docs.limit(0)).collect() == []
+
+
 def test_whole_table(spark):
     from zonecast.llm.queries import op10_simhash
 

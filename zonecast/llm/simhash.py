@@ -7,8 +7,11 @@ forming pairs. For r = 4 that are 2081 variants each.
 
 The same holds inside segments: in one of two 32-bit halves a link differs in at most r/2 bits, so the variants of both
 halves within r/4 flips (66 for r = 4) meet as well, but may meet without being a link. ``links`` therefore meets in
-the halves first and verifies; halves shared by more than ``crowd`` fingerprints are not paired: all fingerprints in
-them emit their full ball of 2081 variants, which needs no pairs. A link is in one of the two ways, whatever the sizes.
+the halves first: the members of a half are held against its smallest one, then against one drawn for it, and what that
+links is contracted. Only halves that still hold different components go on. Up to ``crowd`` fingerprints in one are
+compared with each other across components; all fingerprints in more crowded ones emit their full ball of 2081 variants,
+which needs no pairs, and hang on one member of a variant if that is of another component. A link is found in one of
+these ways or lies within a component already, whatever the sizes.
 """
 
 from __future__ import annotations
@@ -83,29 +86,53 @@ def near(a: str, b: str, radius: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Dealt evenly, as every row is about to become many."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _linked(pairs: DataFrame, radius: int) -> DataFrame:
+    """Those of the pairs ``(a, b)`` that are links, the larger one first, each once."""
+    good = pairs.where("a <> b").where(near("a", "b", radius))
+    return good.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _split(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """The members of those keys that hold more than one component of the edges, with their ``root``."""
+    roots = stored(components(edges), "roots").withColumnRenamed("node", "fp")
+    named = stored(members.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
+    mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    return stored(named.join(mixed.hint("merge"), "key"), "split")
+
+
 def links(fps: DataFrame, radius: int = 4, crowd: int = CROWD) -> DataFrame:
     """Edges ``(a, b)`` between distinct fingerprints ``fp``, that connect exactly what the radius connects."""
     if radius % 2:
         raise ValueError("the radius must be even")
-    met = fps.select("fp", F.explode(half_variants(F.col("fp"), radius)).alias("key"))
-    shared = stored(met.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-                    .where("n > 1"), "shared-halves")
-    pairs = shared.where("n = 2").select("a", "b")
+    met = _dealt(fps.select("fp")).select("fp", F.explode(half_variants(F.col("fp"), radius)).alias("key"))
+    shared = stored(met.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"),
+        F.min_by("fp", F.xxhash64("fp", "key")).alias("drawn")).where("n > 1"), "shared-halves")
     # The table of shared halves grows with the data, so it is never broadcast.
-    more = stored(met.join(shared.where("n > 2").select("key", "n").hint("merge"), "key"), "met-halves")
-    few = more.where(F.col("n") <= crowd).select("key", "fp")
-    right = few.select("key", F.col("fp").alias("b"))
-    compared = few.withColumnRenamed("fp", "a").join(right, "key").where("a < b").select("a", "b")
-    crowded = stored(more.where(F.col("n") > crowd).select("fp").distinct(), "crowded")
-    # Dealt evenly, as every row becomes thousands.
-    crowded = crowded.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ball = crowded.select("fp", F.explode(_flipped(F.col("fp"), masks(64, radius // 2))).alias("key"))
-    centre = ball.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
-    centre = stored(centre, "centres")  # a table on both sides of the join lets Spark split a crowded variant
+    more = stored(met.join(shared.where("n > 2").select("key", "n", "a", "drawn").hint("merge"), "key"), "met-halves")
+    pairs = shared.where("n = 2").select("a", "b").union(more.select("a", F.col("fp").alias("b")))
+    edges = stored(_linked(pairs, radius), "links")
+    left = _split(more, edges)
+    edges = stored(edges.union(_linked(left.select(F.col("fp").alias("a"), F.col("drawn").alias("b")), radius)), "links")
+    left = _split(more, edges)
+    few = left.where(F.col("n") <= crowd).select("key", "fp", "root")
+    right = few.select("key", F.col("fp").alias("b"), F.col("root").alias("other"))
+    compared = few.withColumnRenamed("fp", "a").join(right, "key").where("root < other").where(near("a", "b", radius))
+    many = stored(left.where(F.col("n") > crowd).select("fp", "root").distinct(), "crowded")
+    ball = _dealt(many).select("fp", "root", F.explode(_flipped(F.col("fp"), masks(64, radius // 2))).alias("key"))
+    least, most = F.min(F.struct("root", F.col("fp").alias("b"))).alias("least"), F.max("root").alias("most")
+    centre = ball.groupBy("key").agg(least, most).where("least.root <> most")
+    # A table on both sides of the join lets Spark split a crowded variant.
+    centre = stored(centre.select("key", F.col("least.root").alias("other"), "least.b"), "centres")
     # Spark takes the exploded balls for as small as the fingerprints, so the join is told not to broadcast them.
-    hung = ball.hint("merge").join(centre, "key").select(F.col("fp").alias("a"), "b").where("a <> b")
-    found = reduce(DataFrame.unionByName, [pairs, compared, hung])
-    return found.where(near("a", "b", radius)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    hung = ball.hint("merge").join(centre, "key").where("root <> other").select(F.col("fp").alias("a"), "b")
+    found = _linked(compared.select("a", "b").union(hung), radius)
+    return edges.union(found)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4, crowd: int = CROWD,
@@ -126,6 +153,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4, crowd: int
     return prints.join(by_print, "fp").select(id_col, "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """One row of each group: that of the smallest ``doc_id`` (rows without one come last), of equal ids that whose
+    columns have the smallest hash. Rows that are equal in all columns count as one. Columns stay as they are."""
+    key = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    groups = near_duplicates(named.select("key", "row.text"), width, radius, id_col="key")
+    first = groups.where(F.col("key") == F.col("component_id")).select("key").distinct()
+    return named.join(first.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+
+
 def report(docs: DataFrame, width: int, radius: int) -> DataFrame:
     """doc_id, the fingerprint as 16 hexadecimal digits, component_id."""
     return near_duplicates(docs, width, radius).select(
