@@ -10,13 +10,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonecast.llm import bpe, mixing, quality_trees, secrets, similar
+from zonecast.llm import bpe, mixing, quality_trees, secrets, simhash
 from zonecast.llm.common import stored, table
 
-#: Word shingles of the near-duplicate stage, and the share of them from which documents are near copies.
-SHINGLE, SHARE = 5, 0.8
-#: Bits in which fingerprints of near copies may differ; the stage no longer asks for them.
-RADIUS = 4
+#: Words of a shingle, and bits in which fingerprints of near copies may differ.
+SHINGLE, RADIUS = 4, 4
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,14 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id. Rows that repeat an id are one document.
-
-    Rows without an id can't stand for a group; of those only exact copies go.
-    """
-    groups = similar.near_duplicates(docs, SHINGLE, SHARE)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null").distinct())
+    """One document of each group of linked fingerprints: that of the smallest id; rows without an id stand last."""
+    return simhash.one_of_each(docs, SHINGLE, RADIUS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
