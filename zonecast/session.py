@@ -35,7 +35,7 @@ def local_session(app: str = "zonecast", cores: int | str = "*", shuffle_partiti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Directory for reliable checkpoints.
+    """Directory for reliable checkpoints, with the scheme of its file system.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; only a local master without one gets a fresh
     scratch folder.
@@ -50,7 +50,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         named = tempfile.mkdtemp(prefix="zonecast-ckpt-")
     sc.setCheckpointDir(named)
-    return named
+    return sc.getCheckpointDir()  # as Spark resolved it, so executors read it from where Spark writes it
 
 
 def run_together(tasks: list) -> list:
