@@ -32,7 +32,6 @@ def test_checksums():
 
 def reference():
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     return lambda t: library.encode(t or "", add_special_tokens=False).ids + [0]
 
 
@@ -46,7 +45,8 @@ def want_of(rows):
 
 
 def test_rows(spark, documents):
-    texts = ["it's a  test\n\n of words", None, "", "é" * 50_000 + " end", "<|endoftext|> x", "same", "same"]
+    texts = ["it's a  test\n\n of words", None, "", "é" * 50_000 + " end", "<|endoftext|> x", "same", "same",
+             "a <|endoftext|> b", "<|endoftext|>" * 3, "<|endoftext", " \u2003é \x1c\u00a0x\n\n  'll 's", "ab\n cd\n\nef \n"]
     rows = [*enumerate(texts), (5, "same"), (-3, "negative"), (None, "none")]
     docs = documents(rows).withColumn("ids", F.lit(1)).withColumn("path", F.lit("p")).repartition(3)
     got = R.report(docs, PATH).collect()

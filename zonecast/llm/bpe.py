@@ -134,9 +134,11 @@ def automaton() -> Automaton:
 @lru_cache(1)
 def code_classes() -> np.ndarray:
     """Symbol of each code point before its neighbours are seen; one place more stands between texts."""
-    out = np.zeros(0x110001, np.uint8)
-    kinds = {"L": LETTER, "N": NUMBER}
-    out[:0x110000] = [kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)]
+    out = np.full(0x110001, OTHER, np.uint8)
+    names = "".join(map(unicodedata.category, map(chr, range(0x110000))))  # two letters each
+    major = np.frombuffer(names.encode(), np.uint8)[::2]
+    out[:0x110000][major == ord("L")] = LETTER
+    out[:0x110000][major == ord("N")] = NUMBER
     out[WHITE_SPACE] = WHITE_LAST
     out[32], out[0x110000] = SPACE_LAST, END
     return out
@@ -246,14 +248,13 @@ class Cache:
             self.young, self.old = {}, self.young
         out = list(map(self.young.get, pieces))
         gaps = [i for i, v in enumerate(out) if v is None]
-        new = []
-        for i in gaps:
-            out[i] = self.old.get(pieces[i])
-            if out[i] is None:
-                new.append(i)
-        for i, value in zip(new, self.fresh([pieces[i] for i in new])):
+        asked = [pieces[i] for i in gaps]
+        found = list(map(self.old.get, asked))
+        new = iter(self.fresh([p for p, v in zip(asked, found) if v is None]))
+        found = [next(new) if v is None else v for v in found]
+        for i, value in zip(gaps, found):
             out[i] = value
-        self.young.update((pieces[i], out[i]) for i in gaps if len(pieces[i]) <= 64)  # longer ones are not kept
+        self.young.update((p, v) for p, v in zip(asked, found) if len(p) <= 64)  # longer ones are not kept
         return out
 
 

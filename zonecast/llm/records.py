@@ -119,7 +119,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [a.content for a in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         # A character of a byte-level token stands for one byte.
         names = self.library.get_vocab(with_added_tokens=False)
@@ -128,30 +128,48 @@ class Encoder:
         self.cache = Cache(self._ask, CACHE)
 
     def _ask(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of new pieces: those with more than white space in one text, a line each, the others one by one.
+        """Ids of new pieces: those with more than white space in one text, the others one by one.
 
-        A line feed before and after a piece never joins it, so the library finds the same pieces again.
+        Most pieces start with a space, which parts them from the one before; any other one is put on a line of its own.
+        A line feed never joins what follows or precedes it, so the library finds the same pieces again.
         """
-        texts = [p.decode() for p in pieces]
-        lines = [i for i, t in enumerate(texts) if not t.isspace()]
-        blank = [i for i, t in enumerate(texts) if t.isspace()]
         out: list[bytes] = [b""] * len(pieces)
-        for i, x in zip(blank, self.library.encode_batch_fast([texts[i] for i in blank], add_special_tokens=False)):
-            out[i] = np.array(x.ids, f"<u{self.width}").tobytes()
+        blank = [i for i, p in enumerate(pieces) if (p[0] <= 32 or p[0] > 127) and p.decode().isspace()]
+        for i, x in zip(blank, self._ids([pieces[i].decode() for i in blank])):
+            out[i] = x.astype(f"<u{self.width}").tobytes()
+        alone = set(blank)
+        lines = [i for i in range(len(pieces)) if i not in alone]
         if lines:
-            ids = np.array(self.library.encode_batch_fast(["\n".join([texts[i] for i in lines])], add_special_tokens=False)[0].ids)
-            sizes = np.fromiter((len(pieces[i]) for i in lines), np.int64, len(lines))
-            ends = np.cumsum(sizes + 1) - 1
-            upto = np.cumsum(self.lengths[ids])
-            first, last = np.searchsorted(upto, ends - sizes, side="right"), np.searchsorted(upto, ends, side="left") + 1
+            # A space that starts a piece is followed by something else, unless the piece is white space.
+            parts = [pieces[i] if pieces[i][0] == 32 else b"\n" + pieces[i] + b"\n" for i in lines]
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            upto = np.cumsum(sizes)
+            own = np.fromiter((pieces[i][0] != 32 for i in lines), np.int64, len(lines))
+            ids = self._ids([b"".join(parts).decode()])[0]
+            ends = np.cumsum(self.lengths[ids])
+            first = np.searchsorted(ends, upto - sizes + own, side="right")
+            last = np.searchsorted(ends, upto - own, side="left") + 1
             packed, w = ids.astype(f"<u{self.width}").tobytes(), self.width
             for i, a, b in zip(lines, (first * w).tolist(), (last * w).tolist()):
                 out[i] = packed[a:b]
         return out
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.int64) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        end = end_id.to_bytes(self.width, "little")
-        return [x.tobytes() + end for x in encoded(texts, self.cache, f"<u{self.width}")]
+        """Packed ids of each text. One that holds the string of an added token goes to the library as a whole."""
+        end, kind = end_id.to_bytes(self.width, "little"), f"<u{self.width}"
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        plain = texts
+        if whole:
+            plain = list(texts)
+            for i in whole:
+                plain[i] = ""
+        out = [x.tobytes() + end for x in encoded(plain, self.cache, kind)]
+        for i, x in zip(whole, self._ids([texts[i] for i in whole])):
+            out[i] = x.astype(kind).tobytes() + end
+        return out
 
 
 _READY: dict[int, Encoder] = {}
