@@ -53,6 +53,8 @@ def test_rows(spark, documents):
     forms = {r.form for r in M.report(docs).collect()}
     assert forms == {"plain", "spm", "psm"}
     assert M.report(docs.limit(0)).collect() == []
+    some = M.restored(M.transformed(docs, cut=100).where("doc_id > 7")).collect()
+    assert all(r.restored.decode() == (dict(rows)[r.doc_id] or "") for r in some) and len({r.form for r in some}) == 3
 
 
 def test_cuts_at_every_token():

@@ -216,13 +216,17 @@ def _restoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("restored", pa.array(texts, pa.binary()))
 
 
-def transformed(docs: DataFrame, seed: int = SEED, cut: int = CUT, suffix_first: int = SUFFIX_FIRST) -> DataFrame:
-    """``doc_id``, ``n`` tokens, ``form`` (plain, psm, spm), ``prefix_chars``, ``middle_chars`` and ``output`` (binary)."""
+def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"),
                        text_of().cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_cutting(seed, cut, suffix_first),
-                           f"doc_id {kind}, n long, form string, prefix_chars long, middle_chars long, output binary")
+    return rows, f"doc_id {kind}, n long, form string, prefix_chars long, middle_chars long, output binary"
+
+
+def transformed(docs: DataFrame, seed: int = SEED, cut: int = CUT, suffix_first: int = SUFFIX_FIRST) -> DataFrame:
+    """``doc_id``, ``n`` tokens, ``form`` (plain, psm, spm), ``prefix_chars``, ``middle_chars`` and ``output`` (binary)."""
+    rows, kinds = _rows(docs)
+    return rows.mapInArrow(_cutting(seed, cut, suffix_first), kinds)
 
 
 def restored(rows: DataFrame) -> DataFrame:
@@ -232,8 +236,13 @@ def restored(rows: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256; a row for each row."""
-    return restored(transformed(docs)).select(
+    """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256; a row for each row.
+
+    Texts are cut and rebuilt in one worker.
+    """
+    rows, kinds = _rows(docs)
+    cutting = _cutting(SEED, CUT, SUFFIX_FIRST)
+    return rows.mapInArrow(lambda batches: _restoring(cutting(batches)), f"{kinds}, restored binary").select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars",
         F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
