@@ -97,16 +97,11 @@ def _linked(pairs: DataFrame, radius: int) -> DataFrame:
     return good.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _split(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """The members of those keys that hold more than one component of the edges, with their ``root``."""
-    roots = stored(components(edges), "roots").withColumnRenamed("node", "fp")
-    named = stored(members.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
-    mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    return stored(named.join(mixed.hint("merge"), "key"), "split")
+def _met(fps: DataFrame, radius: int, crowd: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """First edges ``(a, b)``, their components ``(fp, root)``, and the links that are left between different ones.
 
-
-def links(fps: DataFrame, radius: int = 4, crowd: int = CROWD) -> DataFrame:
-    """Edges ``(a, b)`` between distinct fingerprints ``fp``, that connect exactly what the radius connects."""
+    The last table has one link ``(a, b)`` with its components ``(root, other)`` for what joins them.
+    """
     if radius % 2:
         raise ValueError("the radius must be even")
     met = _dealt(fps.select("fp")).select("fp", F.explode(half_variants(F.col("fp"), radius)).alias("key"))
@@ -115,24 +110,43 @@ def links(fps: DataFrame, radius: int = 4, crowd: int = CROWD) -> DataFrame:
         F.min_by("fp", F.xxhash64("fp", "key")).alias("drawn")).where("n > 1"), "shared-halves")
     # The table of shared halves grows with the data, so it is never broadcast.
     more = stored(met.join(shared.where("n > 2").select("key", "n", "a", "drawn").hint("merge"), "key"), "met-halves")
-    pairs = shared.where("n = 2").select("a", "b").union(more.select("a", F.col("fp").alias("b")))
+    fp = F.col("fp").alias("b")
+    pairs = shared.where("n = 2").select("a", "b").union(more.select("a", fp)).union(more.select("drawn", fp))
     edges = stored(_linked(pairs, radius), "links")
-    left = _split(more, edges)
-    edges = stored(edges.union(_linked(left.select(F.col("fp").alias("a"), F.col("drawn").alias("b")), radius)), "links")
-    left = _split(more, edges)
+    roots = stored(components(edges), "roots").withColumnRenamed("node", "fp")
+    named = stored(more.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
+    mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    left = stored(named.join(mixed.hint("merge"), "key"), "split")
     few = left.where(F.col("n") <= crowd).select("key", "fp", "root")
     right = few.select("key", F.col("fp").alias("b"), F.col("root").alias("other"))
     compared = few.withColumnRenamed("fp", "a").join(right, "key").where("root < other").where(near("a", "b", radius))
-    many = stored(left.where(F.col("n") > crowd).select("fp", "root").distinct(), "crowded")
+    many = left.where(F.col("n") > crowd).select("fp", "root").distinct()
     ball = _dealt(many).select("fp", "root", F.explode(_flipped(F.col("fp"), masks(64, radius // 2))).alias("key"))
     least, most = F.min(F.struct("root", F.col("fp").alias("b"))).alias("least"), F.max("root").alias("most")
     centre = ball.groupBy("key").agg(least, most).where("least.root <> most")
     # A table on both sides of the join lets Spark split a crowded variant.
     centre = stored(centre.select("key", F.col("least.root").alias("other"), "least.b"), "centres")
     # Spark takes the exploded balls for as small as the fingerprints, so the join is told not to broadcast them.
-    hung = ball.hint("merge").join(centre, "key").where("root <> other").select(F.col("fp").alias("a"), "b")
-    found = _linked(compared.select("a", "b").union(hung), radius)
-    return edges.union(found)
+    hung = ball.withColumnRenamed("fp", "a").hint("merge").join(centre, "key").where("root <> other").where(near("a", "b", radius))
+    found = compared.select("a", "b", "root", "other").union(hung.select("a", "b", "root", "other"))
+    found = found.groupBy("root", "other").agg(F.min(F.struct("a", "b")).alias("link")).select("link.*", "root", "other")
+    return edges, roots, stored(found, "late-links")
+
+
+def links(fps: DataFrame, radius: int = 4, crowd: int = CROWD) -> DataFrame:
+    """Edges ``(a, b)`` between distinct fingerprints ``fp``, that connect exactly what the radius connects."""
+    edges, _, late = _met(fps, radius, crowd)
+    return edges.union(_linked(late.select("a", "b"), radius))
+
+
+def linked_roots(fps: DataFrame, radius: int = 4, crowd: int = CROWD) -> DataFrame:
+    """``(fp, root)`` of the fingerprints with a link; the components of the first edges are joined by the late links."""
+    _, roots, late = _met(fps, radius, crowd)
+    joined = stored(components(late.select(F.col("root").alias("a"), F.col("other").alias("b"))), "joined-roots")
+    # A fingerprint without a first edge is its own root, and is in no table but that of the late links.
+    every = roots.unionByName(joined.select(F.col("node").alias("fp"), F.col("node").alias("root"))).distinct()
+    further = joined.select(F.col("node").alias("root"), F.col("root").alias("last"))
+    return every.join(further, "root", "left").select("fp", F.coalesce("last", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4, crowd: int = CROWD,
@@ -144,8 +158,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4, crowd: int
     """
     prints = stored(fingerprints(docs, width, id_col, text_col), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
-    roots = stored(components(links(distinct, radius, crowd)), "roots")
-    linked = roots.withColumnRenamed("node", "fp").join(distinct, "fp")
+    linked = stored(linked_roots(distinct, radius, crowd).join(distinct, "fp"), "linked")
     groups = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(groups, "root").select("fp", "component_id")
     by_print = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
