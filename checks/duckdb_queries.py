@@ -388,6 +388,10 @@ ORACLE = {
  {r('CASE WHEN eq95 IS NOT NULL AND eq50 IS NOT NULL THEN greatest(eq95, eq50) END', 5)} AS ens_q95 FROM e""",
     "recency_weights": f"""WITH {S}, a AS (SELECT zone, valid_time, price, pow(2.0, -(row_number() OVER (PARTITION BY zone ORDER BY valid_time DESC) - 1) / 240.0) AS w FROM s)
  SELECT zone, valid_time, {r('price', 8)} AS price, {r('w / avg(w) OVER (PARTITION BY zone)', 8)} AS weight FROM a""",
+    "weighted_quantiles": f"""WITH {S}, a AS (SELECT zone, price, pow(2.0, -(row_number() OVER (PARTITION BY zone ORDER BY valid_time DESC) - 1) / 240.0) AS w FROM s),
+ c AS (SELECT zone, price, sum(w) OVER (PARTITION BY zone ORDER BY price) AS upto, sum(w) OVER (PARTITION BY zone) AS total FROM a)
+ SELECT zone, count(*) AS n, """ + ", ".join(f"{r(f'min(price) FILTER (WHERE upto >= {p} * total)')} AS {q}" for q, p in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95)))
+    + f", {r('max(price)')} AS top FROM c GROUP BY 1",
     "train_val_split": f"""WITH {S}, a AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY valid_time DESC) AS k, count(*) OVER (PARTITION BY zone) AS n FROM s)
  SELECT zone, valid_time, {r('price')} AS price, k <= least(greatest(720, floor(n * 0.15)), n // 2) AS is_val FROM a""",
     "expanding_blocks": f"""WITH {S}, a AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY valid_time) - 1 AS k, count(*) OVER (PARTITION BY zone) AS n FROM s)
@@ -420,6 +424,27 @@ ORACLE = {
   AND count(price) FILTER (WHERE valid_time >= test_start AND valid_time < test_end) >= 24),
  te AS (SELECT d.zone, fold, 'seasonal' AS model, price AS y, q05, q50, q95 FROM d JOIN folds ON valid_time >= test_start AND valid_time < test_end
   JOIN use USING (zone, fold) LEFT JOIN tr ON tr.zone = d.zone AND tr.fold = folds.fold AND tr.h = hour(valid_time))
+ SELECT zone, fold, model, {named(EVAL)} FROM te WHERE {P50} GROUP BY 1, 2, 3""",
+    # one standardised feature: a soft threshold for each penalty, chosen on three expanding splits
+    "walk_forward_lear": f"""WITH {PF}, {FOLDS}, x AS (SELECT zone, fold, hour(valid_time) AS h, valid_time, price_lag24h AS x, price AS y
+  FROM pf JOIN folds ON valid_time >= train_start AND valid_time < train_end WHERE price IS NOT NULL AND price_lag24h IS NOT NULL),
+ k AS (SELECT *, row_number() OVER (PARTITION BY zone, fold, h ORDER BY valid_time) AS k, count(*) OVER w AS n, avg(x) OVER w AS mx, stddev_pop(x) OVER w AS sd
+  FROM x WINDOW w AS (PARTITION BY zone, fold, h)),
+ z AS (SELECT *, (x - mx) / sd AS z, CASE WHEN k <= n - 3 * (n // 4) THEN 0 ELSE (k - 1 - (n - 3 * (n // 4))) // (n // 4) + 1 END AS b FROM k WHERE n >= 10),
+ al AS (SELECT unnest([0.0001, 0.0005, 0.001, 0.005, 0.01, 0.05, 0.1, 0.5]::DOUBLE[]) AS a),
+ tr AS (SELECT zone, fold, h, s, count(*) AS m, avg(z) AS mz, avg(y) AS my, count(*) * var_pop(z) AS q, count(*) * covar_pop(z, y) AS c
+  FROM z JOIN range(3) t(s) ON b <= s GROUP BY 1, 2, 3, 4),
+ be AS (SELECT *, CASE WHEN q > 1e-12 * m THEN sign(c) * greatest(abs(c) - m * a, 0) / q ELSE 0 END AS beta FROM tr, al),
+ er AS (SELECT zone, fold, h, a, s, avg(pow(y - my - beta * (z - mz), 2)) AS e FROM be JOIN z USING (zone, fold, h) WHERE b = s + 1 GROUP BY 1, 2, 3, 4, 5),
+ ch AS (SELECT zone, fold, h, first(a ORDER BY e, a DESC) AS a FROM (SELECT zone, fold, h, a, sum(e) AS e FROM er GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+ fu AS (SELECT zone, fold, h, any_value(mx) AS mx, any_value(sd) AS sd, avg(y) AS my, any_value(a) AS a, covar_pop(z, y) AS c FROM z JOIN ch USING (zone, fold, h) GROUP BY 1, 2, 3),
+ fi AS (SELECT zone, fold, h, sign(c) * greatest(abs(c) - a, 0) / sd AS coef, my - sign(c) * greatest(abs(c) - a, 0) / sd * mx AS b0 FROM fu),
+ rs AS (SELECT zone, fold, h, quantile_cont(y - b0 - coef * x, 0.05) AS lo, quantile_cont(y - b0 - coef * x, 0.95) AS hi FROM x JOIN fi USING (zone, fold, h) GROUP BY 1, 2, 3),
+ use AS (SELECT zone, fold FROM d, folds GROUP BY 1, 2 HAVING count(price) FILTER (WHERE valid_time >= train_start AND valid_time < train_end) >= 24
+  AND count(price) FILTER (WHERE valid_time >= test_start AND valid_time < test_end) >= 24),
+ ap AS (SELECT pf.zone, folds.fold, hour(valid_time) AS h, price AS y, price_lag24h AS x FROM pf JOIN folds ON valid_time >= test_start AND valid_time < test_end JOIN use USING (zone, fold)),
+ te AS (SELECT ap.zone, ap.fold, 'lear' AS model, y, b0 + coef * x + lo AS q05, b0 + coef * x AS q50, b0 + coef * x + hi AS q95
+  FROM ap JOIN fi USING (zone, fold, h) JOIN rs USING (zone, fold, h))
  SELECT zone, fold, model, {named(EVAL)} FROM te WHERE {P50} GROUP BY 1, 2, 3""",
     "normalize_prices": f"WITH {S} SELECT valid_time, {r('price')} AS value, zone FROM s",
     "normalize_load": f"WITH {EV} SELECT valid_time, {r('sum(value)')} AS actual_load, zone FROM ev GROUP BY valid_time, zone",

@@ -12,10 +12,10 @@ from checks import roles as R
 from zonecast.functions import scores as S
 from zonecast.functions.calendar import add_calendar, with_swedish_holiday
 from zonecast.operators import (
-    boosting, calibrate, exchange, explain, features, forest, lear, metrics, monitor, pit, quality, scoring, splits, stack,
-    zoneboost,
+    boosting, calibrate, exchange, explain, features, forest, lear, metrics, monitor, pit, quality, quantiles, scoring, splits,
+    stack, zoneboost,
 )
-from zonecast.plans import evaluation, forecast, training
+from zonecast.plans import evaluation, forecast, lear_walk, training
 from zonecast.session import ensure_checkpoint_dir, materialize
 from zonecast.sources import bitemporal, bronze, dims, gold, silver
 
@@ -327,6 +327,12 @@ def recency_weights(spark, sf):
     return out(splits.recency_weights(R.prices(spark, sf), half_life=240), 8)
 
 
+def weighted_quantiles(spark, sf):
+    """Exact quantiles of the prices of each zone under recency weights."""
+    rows = splits.recency_weights(R.prices(spark, sf), half_life=240)
+    return out(quantiles.exact_weighted_quantiles(rows, ["zone"], "price", "weight", {"q05": 0.05, "q50": 0.5, "q95": 0.95, "top": 1.0}))
+
+
 def train_val_split(spark, sf):
     return out(splits.train_val_split(R.prices(spark, sf), cap_half=True))
 
@@ -458,6 +464,13 @@ def walk_forward(spark, sf):
     return out(result.fold_metrics)
 
 
+def walk_forward_lear(spark, sf):
+    """LEAR on one lag in every fold, all folds from one pass; one feature has a closed form."""
+    result = lear_walk.walk_forward_lear(
+        R.forecasts_wide(spark, sf), *splits.day_range(R.prices(spark, sf)), **FOLD, features=["price_lag24h"], min_rows=LEAR_ROWS)
+    return out(result.fold_metrics)
+
+
 def batch_forecast(spark, sf):
     """Base models on all but the last week, calibration and blend on that week but its last two days, which are asked for."""
     m = _fitted_matrix(spark, sf)
@@ -538,9 +551,9 @@ QUERIES = {
         forecast_kpis, last_forecasts, spike_analysis, backtest_table, backtest_kpis, stored_vs_live, model_comparison,
         period_breakdown, prefer_stored, crps, reliability, fold_metrics, fold_summary, fold_reliability,
         walk_forward_folds, conformal_fit, conformal_apply, quantile_ordering, base_predictions, ridge_stack,
-        stack_predict, recency_weights, train_val_split, expanding_blocks, calendar_split, label_coverage,
+        stack_predict, recency_weights, weighted_quantiles, train_val_split, expanding_blocks, calendar_split, label_coverage,
         promotion_history, run_delta, retrain_gate, threshold_alerts, drift_report, training_rows,
-        target_encoding, walk_forward, lear_models, lear_forecast, quantile_gbt, boosted_leaves, quantile_forest, contributions,
+        target_encoding, walk_forward, walk_forward_lear, lear_models, lear_forecast, quantile_gbt, boosted_leaves, quantile_forest, contributions,
         batch_forecast, normalize_prices, normalize_load, normalize_generation, normalize_crossborder, normalize_weather,
         weather_wide, holiday_flags, scan_window, explorer_window, naive_mae, any_drift, spike_hours,
     ]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from zonecast.operators.boosting import _assemble
 from zonecast.operators.features import MODEL_FEATURES, scorable
+from zonecast.operators.quantiles import exact_weighted_quantiles
 from zonecast.operators.splits import recency_weights
 from zonecast.session import materialize
 
@@ -41,7 +42,7 @@ class ForestModel:
 
 def forest_fit(matrix: DataFrame, label: str = "price", features: Sequence[str] | None = None,
                config: ForestConfig | None = None, prefix: str = "xgb") -> ForestModel:
-    """Leaves keep a bounded quantile sketch of their training labels (trees x leaves rows in total)."""
+    """Leaves keep the exact quantiles of their training labels under the recency weights (trees x leaves rows in total)."""
     config = config or ForestConfig()
     wanted = MODEL_FEATURES if features is None else features
     cols = [c for c in wanted if c in matrix.columns]
@@ -56,19 +57,13 @@ def forest_fit(matrix: DataFrame, label: str = "price", features: Sequence[str]
         numTrees=config.trees, maxDepth=config.max_depth, minInstancesPerNode=config.min_leaf, maxBins=config.max_bins,
         subsamplingRate=config.row_share, featureSubsetStrategy=config.feature_share, seed=config.seed,
     ).fit(data)
-    probs = list(LEVELS.values())
-    leaf_rows = (
-        forest.transform(data)
-        .select("y", F.posexplode(_leaf_array("_leaves")).alias("tree", "leaf"))
-        .groupBy("tree", "leaf")
-        .agg(F.percentile_approx("y", probs, 10000).alias("q"))
-        .collect()
-    )
+    leaves = materialize(forest.transform(data).select("y", "w", F.posexplode(_leaf_array("_leaves")).alias("tree", "leaf")))
+    leaf_rows = exact_weighted_quantiles(leaves, ["tree", "leaf"], "y", "w", LEVELS, slices=8).collect()
     sizes = [(t.numNodes + 1) // 2 for t in forest.trees]
     values = {name: [[0.0] * n for n in sizes] for name in LEVELS}
     for r in leaf_rows:
-        for i, name in enumerate(LEVELS):
-            values[name][r["tree"]][int(r["leaf"])] = float(r["q"][i])
+        for name in LEVELS:
+            values[name][r["tree"]][int(r["leaf"])] = r[name]
     return ForestModel(cols, forest, zone_index, values, prefix)
 
 

@@ -36,7 +36,7 @@ FEATURES = [
 MODEL_SCHEMA = "zone string, hour int, n long, alpha double, intercept double, coef array<double>"
 
 
-def _moments(width: int):
+def moments(width: int):
     """Per batch: sums of products of (1, features, label) by zone, hour and block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,40 +126,53 @@ def _standardise(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mean, sd, t
 
 
+def solve_blocks(blocks: np.ndarray, alphas: Sequence[float]) -> tuple[float, float, np.ndarray]:
+    """Penalty, intercept and coefficients from the moments of (1, features, label) in the expanding blocks.
+
+    The penalty has the least mean squared error over the splits (of equals the largest); features are standardised over
+    all blocks, and the result is in their own units.
+    """
+    total = blocks.sum(axis=0)
+    mean, sd, t = _standardise(total)
+    scaled = np.stack([t.T @ b @ t for b in blocks])
+    ordered = sorted(alphas, reverse=True)
+    errors = np.zeros(len(ordered))
+    for split in range(N_SPLITS):
+        train, test = scaled[: split + 1].sum(axis=0), scaled[split + 1]
+        warm = None
+        for i, a in enumerate(ordered):
+            b0, warm = lasso_from_moments(train, a, warm)
+            errors[i] += _squared_error(test, b0, warm) / max(test[0, 0], 1.0) / N_SPLITS
+    best = ordered[int(np.argmin(errors))]
+    b0, beta = lasso_from_moments(scaled.sum(axis=0), best)
+    coef = beta / sd
+    return best, b0 - float(coef @ mean), coef
+
+
+def unfolded(width: int, pos: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """The symmetric moment matrix of its upper triangle's cells."""
+    m = np.zeros((width, width))
+    upper = np.triu_indices(width)
+    m[upper[0][pos], upper[1][pos]] = cell
+    return m + np.triu(m, 1).T
+
+
 def _solve_hour(width: int, min_rows: int, alphas: Sequence[float]):
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        upper = np.triu_indices(width)
         blocks = np.zeros((N_SPLITS + 1, width, width))
         for block, part in pdf.groupby("cv_block"):
-            flat = np.zeros(len(upper[0]))
-            flat[part["pos"].to_numpy()] = part["cell"].to_numpy()
-            m = np.zeros((width, width))
-            m[upper] = flat
-            blocks[int(block)] = m + np.triu(m, 1).T
-        total = blocks.sum(axis=0)
-        n = int(round(total[0, 0]))
+            blocks[int(block)] = unfolded(width, part["pos"].to_numpy(), part["cell"].to_numpy())
+        n = int(round(blocks[:, 0, 0].sum()))
         cols = ["zone", "hour", "n", "alpha", "intercept", "coef"]
         if n < min_rows:
             return pd.DataFrame(columns=cols)
-        mean, sd, t = _standardise(total)
-        scaled = np.stack([t.T @ b @ t for b in blocks])
-        ordered = sorted(alphas, reverse=True)
-        errors = np.zeros(len(ordered))
-        for split in range(N_SPLITS):
-            train, test = scaled[: split + 1].sum(axis=0), scaled[split + 1]
-            warm = None
-            for i, a in enumerate(ordered):
-                b0, warm = lasso_from_moments(train, a, warm)
-                errors[i] += _squared_error(test, b0, warm) / max(test[0, 0], 1.0) / N_SPLITS
-        best = ordered[int(np.argmin(errors))]
-        b0, beta = lasso_from_moments(scaled.sum(axis=0), best)
-        coef = beta / sd
-        return pd.DataFrame([[key[0], int(key[1]), n, best, b0 - float(coef @ mean), coef.tolist()]], columns=cols)
+        best, intercept, coef = solve_blocks(blocks, alphas)
+        return pd.DataFrame([[key[0], int(key[1]), n, best, intercept, coef.tolist()]], columns=cols)
 
     return run
 
 
-def _linear(features: Sequence[str], coef: str = "coef", intercept: str = "intercept") -> Column:
+def linear(features: Sequence[str], coef: str = "coef", intercept: str = "intercept") -> Column:
     total = F.col(intercept)
     for i, c in enumerate(features):
         total = total + F.col(coef)[i] * F.col(c).cast("double")
@@ -190,8 +203,8 @@ def lear_fit(matrix: DataFrame, label: str = "price", alphas: Sequence[float] =
     ranked = ranked.withColumn("cv_block", block.cast("int"))
     width = len(cols) + 2
     packed = ranked.select("zone", "hour", "cv_block", F.array(*cols, "_y").alias("v"))
-    partial = packed.mapInPandas(_moments(width), "zone string, hour int, cv_block int, cells array<double>")
-    moments = (
+    partial = packed.mapInPandas(moments(width), "zone string, hour int, cv_block int, cells array<double>")
+    sums = (
         partial.select("zone", "hour", "cv_block", F.posexplode("cells").alias("pos", "cell"))
         .groupBy("zone", "hour", "cv_block", "pos")
         .agg(F.sum("cell").alias("cell"))
@@ -199,13 +212,13 @@ def lear_fit(matrix: DataFrame, label: str = "price", alphas: Sequence[float] =
     # the groups are small but busy: an explicit partition count keeps AQE from merging them into one task
     tasks = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     models = materialize(
-        moments.repartition(tasks, "zone", "hour")
+        sums.repartition(tasks, "zone", "hour")
         .groupBy("zone", "hour")
         .applyInPandas(_solve_hour(width, min_rows, list(alphas)), MODEL_SCHEMA)
     )
     recent = ranked.where(F.col("_pos") > F.col("_n") - RESIDUAL_ROWS)
     resid = attach(recent, models.select("zone", "hour", "intercept", "coef"), ["zone", "hour"], "inner").select(
-        "zone", "hour", (F.col("_y") - _linear(cols)).alias("r")
+        "zone", "hour", (F.col("_y") - linear(cols)).alias("r")
     )
     bands = resid.groupBy("zone", "hour").agg(
         small_group_quantile("r", 0.05).alias("rq05"), small_group_quantile("r", 0.95).alias("rq95")
@@ -218,7 +231,7 @@ def lear_predict(matrix: DataFrame, models: DataFrame, features: Sequence[str] =
     cols = available_features(matrix, features)
     keyed = matrix.withColumn("_hour", F.hour("valid_time"))
     table = models.select("zone", F.col("hour").alias("_hour"), "intercept", "coef", "rq05", "rq95")
-    joined = attach(keyed, table, ["zone", "_hour"]).withColumn("lear_q50", _linear(cols))
+    joined = attach(keyed, table, ["zone", "_hour"]).withColumn("lear_q50", linear(cols))
     return joined.withColumns({
         "lear_q05": F.col("lear_q50") + F.col("rq05"), "lear_q95": F.col("lear_q50") + F.col("rq95"),
     }).select(*matrix.columns, "lear_q05", "lear_q50", "lear_q95")

@@ -19,6 +19,14 @@ def small_group_quantile(value: Column | str, p: float | Column) -> Column:
     return F.percentile(value, p)
 
 
+def _sliced(rows: DataFrame, k: list[str], slices: int, *columns: str) -> DataFrame:
+    """Rows with ``_slice``, the number of sketched cut points of their key below their value ``_v``."""
+    probs = ", ".join(f"{i / slices}D" for i in range(1, slices))
+    cuts = rows.groupBy(*k).agg(F.expr(f"percentile_approx(_v, array({probs}), 10000)").alias("_cuts"))
+    return rows.join(cuts, k).select(
+        *k, F.expr("coalesce(size(filter(_cuts, c -> c < _v)), 0)").alias("_slice"), "_v", *columns)
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -35,16 +43,9 @@ def exact_quantiles(
     k = list(keys)
     extra = extra or {}
     rows = df.select(*k, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    probs = ", ".join(f"{i / slices}D" for i in range(1, slices))
-    cuts = rows.groupBy(*k).agg(F.expr(f"percentile_approx(_v, array({probs}), 10000)").alias("_cuts"))
     # equal values always share a slice; repeated values collapse before the shuffle (a slice is never null, which
     # keeps both uses of this exchange identical, hence shared)
-    counted = (
-        rows.join(cuts, k)
-        .select(*k, F.expr("coalesce(size(filter(_cuts, c -> c < _v)), 0)").alias("_slice"), "_v")
-        .groupBy(*k, "_slice", "_v")
-        .agg(F.count(F.lit(1)).alias("_m"))
-    )
+    counted = _sliced(rows, k, slices).groupBy(*k, "_slice", "_v").agg(F.count(F.lit(1)).alias("_m"))
     sizes = counted.groupBy(*k, "_slice").agg(
         F.sum("_m").alias("_size"), *[F.expr(f"sum({e})").alias(n) for n, e in extra.items()]
     )
@@ -74,3 +75,40 @@ def exact_quantiles(
         *k, "n", *extra,
         *[F.expr(f"_floor_{n} + (_at_{n} - floor(_at_{n})) * (_ceil_{n} - _floor_{n})").alias(n) for n in levels],
     )
+
+
+def exact_weighted_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    weight: str,
+    levels: dict[str, float],
+    slices: int = SLICES,
+) -> DataFrame:
+    """Per key the smallest value at which the weight so far reaches each level's share of the key's weight, and the
+    number of rows as ``n``.
+
+    Levels lie in (0, 1]; rows without a value or without a positive weight are left out. As above, a sketch only cuts
+    the values into slices: their weights find the one slice in which a level is reached, and only that one is sorted.
+    """
+    k = list(keys)
+    rows = df.select(*k, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w"))
+    counted = (
+        _sliced(rows.where("_v IS NOT NULL AND _w > 0"), k, slices, "_w")
+        .groupBy(*k, "_slice", "_v").agg(F.sum("_w").alias("_m"), F.count(F.lit(1)).alias("_rows"))
+    )
+    sizes = counted.groupBy(*k, "_slice").agg(F.sum("_m").alias("_size"), F.sum("_rows").alias("_rows"))
+    key = ", ".join(f"`{c}`" for c in k)
+    # one row per slice and key from here on; the running sums themselves decide, so a level is reached in one slice
+    running = sizes.selectExpr(*k, "_slice", "_rows", f"sum(_size) OVER (PARTITION BY {key} ORDER BY _slice) AS _upto")
+    totals = running.selectExpr(
+        *k, "_slice", "_upto", f"coalesce(lag(_upto) OVER (PARTITION BY {key} ORDER BY _slice), 0D) AS _before",
+        f"max(_upto) OVER (PARTITION BY {key}) AS _total", f"sum(_rows) OVER (PARTITION BY {key}) AS n")
+    inside = {name: f"({p!r}D * _total > _before AND {p!r}D * _total <= _upto)" for name, p in levels.items()}
+    opened = counted.drop("_rows").join(totals.where(" OR ".join(inside.values())), [*k, "_slice"])
+    ordered = opened.withColumn("_reach", F.expr(f"_before + sum(_m) OVER (PARTITION BY {key}, _slice ORDER BY _v)"))
+    # sums in another order may end a little below the slice's weight: then it is reached at the slice's last value
+    return ordered.groupBy(*k, "n").agg(*[
+        F.expr(f"coalesce(min(if({inside[name]} AND _reach >= {p!r}D * _total, _v, NULL)), max(if({inside[name]}, _v, NULL)))").alias(name)
+        for name, p in levels.items()
+    ])

@@ -61,10 +61,15 @@ def walk_forward(matrix: DataFrame, models: dict[str, tuple[Fit, Predict]], star
     scored = spark.createDataFrame([], SCORED)
     for p in parts:
         scored = scored.unionByName(p)
+    return evaluated(scored, usable.join(table, "fold"), spike_threshold)
+
+
+def evaluated(scored: DataFrame, folds: DataFrame, spike_threshold: float = S.SPIKE_PRICE) -> EvalResult:
+    """Metrics per fold, their summary and reliability of the scored forecasts of all folds."""
     per_fold = scoring.eval_metrics(scored, ["zone", "fold", "model"], spike_threshold)
     rel = scoring.reliability(scored, ["zone", "fold", "model"])
     return EvalResult(
-        folds=usable.join(table, "fold"),
+        folds=folds,
         fold_metrics=per_fold,
         summary=scoring.fold_summary(per_fold, ["zone", "model"]),
         reliability=scoring.reliability_over_folds(rel, ["zone", "model"]),
