@@ -268,6 +268,18 @@ def newest(series: int) -> str:
     return f"(max({{'k': knowledge_time, 'v': value}}) FILTER (WHERE series_id = {series})).v"
 
 
+def best_split(rows: str, name: str) -> str:
+    """CTEs up to ``name``: for every zone, quantile and node of ``rows`` the feature and cut with the largest gain."""
+    part = "PARTITION BY zone, q, node, f"
+    gain = " + ".join(f"{sign}pow(greatest(abs({g}) - 0.3, 0), 2) / ({n} + 0.3)" for sign, g, n in (
+        ("", "gl", "nl"), ("", "ga - gl", "na - nl"), ("-1 * ", "ga", "na")))
+    return f"""{name}l AS (SELECT zone, q, node, 0 AS f, f0 AS v, g FROM {rows} WHERE node >= 0 UNION ALL SELECT zone, q, node, 1, f1, g FROM {rows} WHERE node >= 0),
+ {name}h AS (SELECT zone, q, node, f, v, sum(g) AS g, count(*) AS n FROM {name}l GROUP BY 1, 2, 3, 4, 5),
+ {name}w AS (SELECT *, sum(g) OVER ({part} ORDER BY v) AS gl, sum(n) OVER ({part} ORDER BY v) AS nl, sum(g) OVER ({part}) AS ga, sum(n) OVER ({part}) AS na FROM {name}h),
+ {name}g AS (SELECT zone, q, node, f, v, round({gain}, 9) AS gain FROM {name}w WHERE nl >= 24 AND na - nl >= 24),
+ {name} AS (SELECT zone, q, node, first(f ORDER BY gain DESC, f, v) AS f, first(v ORDER BY gain DESC, f, v) AS v FROM {name}g WHERE gain > 1e-9 GROUP BY 1, 2, 3)"""
+
+
 ORACLE = {
     "hourly_series": f"WITH {S} SELECT zone, valid_time, {r('price')} AS price FROM s",
     "spine_reindex": f"WITH {D} SELECT zone, valid_time, {r('price')} AS price FROM d",
@@ -416,6 +428,20 @@ ORACLE = {
  count(*) OVER (PARTITION BY zone, hour(valid_time) >= 12) AS n FROM s),
  v AS (SELECT zone, late, """ + ", ".join(f"min(price) FILTER (WHERE i >= {q} * n * (1 - 1e-12)) AS q{int(q * 100):02d}" for q in (0.05, 0.5, 0.95)) + f""" FROM k GROUP BY 1, 2)
  SELECT zone, valid_time, {", ".join(f"{r(q)} AS lgbm_{q}" for q in ("q05", "q50", "q95"))} FROM k JOIN v USING (zone, late)""",
+    # gradients of the base quantile, then the largest penalised gain at the root and again on either side of it
+    "boosted_two_levels": f"""WITH {S}, k AS (SELECT *, hour(valid_time) // 6 AS f0, CAST(dayofweek(valid_time) IN (0, 6) AS INT) AS f1,
+  row_number() OVER (PARTITION BY zone ORDER BY price) AS i, count(*) OVER (PARTITION BY zone) AS n FROM s),
+ qs AS (SELECT unnest([0.05, 0.5, 0.95]::DOUBLE[]) AS q),
+ ba AS (SELECT zone, q, min(price) FILTER (WHERE i >= q * n) AS base FROM k, qs GROUP BY 1, 2),
+ x0 AS (SELECT zone, valid_time, price - base AS r, base, f0, f1, q, CASE WHEN price >= base THEN -q ELSE 1 - q END AS g, 0 AS node FROM k JOIN ba USING (zone)),
+ {best_split('x0', 'b1')},
+ x1 AS (SELECT x0.* REPLACE (CASE WHEN f IS NULL THEN -1 ELSE 1 + CAST(CASE f WHEN 0 THEN f0 ELSE f1 END > v AS INT) END AS node) FROM x0 LEFT JOIN b1 USING (zone, q, node)),
+ {best_split('x1', 'b2')},
+ x2 AS (SELECT x1.*, CASE WHEN f IS NULL THEN -1 ELSE CAST(CASE f WHEN 0 THEN f0 ELSE f1 END > v AS INT) END AS side FROM x1 LEFT JOIN b2 USING (zone, q, node)),
+ x3 AS (SELECT *, row_number() OVER (PARTITION BY zone, q, node, side ORDER BY r) AS i, count(*) OVER (PARTITION BY zone, q, node, side) AS n FROM x2),
+ le AS (SELECT zone, q, node, side, min(r) FILTER (WHERE i >= q * n) AS value FROM x3 GROUP BY 1, 2, 3, 4)
+ SELECT zone, valid_time, """ + ", ".join(r(f"max(base + value) FILTER (WHERE q = {q}::DOUBLE)") + f" AS lgbm_q{int(q * 100):02d}" for q in (0.05, 0.5, 0.95)) + """
+ FROM x3 JOIN le USING (zone, q, node, side) GROUP BY 1, 2""",
     "target_encoding": f"""WITH {S} SELECT zone, valid_time, {r('price')} AS price, hour(valid_time) AS hour,
  {r('avg(price) OVER (PARTITION BY zone, hour(valid_time) ORDER BY valid_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)')} AS hour_target FROM s""",
     "walk_forward": f"""WITH {D}, {FOLDS}, tr AS (SELECT zone, fold, hour(valid_time) AS h, min(price) AS q05, avg(price) AS q50, max(price) AS q95

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from checks import roles as R
 from zonecast.functions import scores as S
 from zonecast.functions.calendar import add_calendar, with_swedish_holiday
 from zonecast.operators import (
-    boosting, calibrate, exchange, explain, features, forest, lear, metrics, monitor, pit, quality, quantiles, scoring, splits,
-    stack, zoneboost,
+    boosting, calibrate, exchange, explain, features, forest, histboost, lear, metrics, monitor, pit, quality, quantiles,
+    scoring, splits, stack, zoneboost,
 )
 from zonecast.plans import evaluation, forecast, lear_walk, training
 from zonecast.session import ensure_checkpoint_dir, materialize
@@ -414,10 +415,14 @@ def lear_forecast(spark, sf):
     return out(scored.select("zone", "valid_time", "lear_q05", "lear_q50", "lear_q95"))
 
 
+#: Few rounds: every level of a tree is a job.
+GBT_SLOTS = {p: replace(s, rounds=4, rate=0.4, depth=2, cap_half=True) for p, s in histboost.SLOTS.items()}
+
+
 def quantile_gbt(spark, sf):
     """All three boosted slots."""
     m = _fitted_matrix(spark, sf)
-    return out(zoneboost.predict(m, materialize(zoneboost.fit_slots(m, zoneboost.capped())), list(zoneboost.SLOTS)))
+    return out(zoneboost.predict(m, materialize(histboost.fit_slots(m, GBT_SLOTS)), list(GBT_SLOTS)))
 
 
 STUMP = zoneboost.BoostSettings(rounds=1, rate=1.0, depth=1, min_leaf=1, row_share=1.0, column_share=1.0, l1=0.0, l2=0.0,
@@ -428,10 +433,18 @@ def boosted_leaves(spark, sf):
     """One tree of one split: each half of the day gets the quantiles of its own prices. Saved, loaded, then scored."""
     rows = R.prices(spark, sf).withColumn("late", (F.hour("valid_time") >= 12).cast("double"))
     path = f"{ensure_checkpoint_dir(spark)}/boosted-leaves-{uuid.uuid4().hex}"
-    zoneboost.save(zoneboost.fit(rows, STUMP, features=["late"]), path)
+    zoneboost.save(histboost.fit(rows, STUMP, features=["late"]), path)
     return out(zoneboost.predict(rows, zoneboost.load(spark, path)))
 
 
+def boosted_two_levels(spark, sf):
+    """One tree of two levels, whose splits are chosen by penalised gain among the day's quarters and the weekend."""
+    rows = R.prices(spark, sf).withColumns({
+        "part": F.floor(F.hour("valid_time") / 6).cast("double"), "weekend": F.dayofweek("valid_time").isin(1, 7).cast("double")})
+    settings = replace(STUMP, depth=2, min_leaf=24, l1=0.3, l2=0.3)
+    return out(zoneboost.predict(rows, histboost.fit(rows, settings, features=["part", "weekend"])))
+
+
 def quantile_forest(spark, sf):
     m = _fitted_matrix(spark, sf)
     scored = forest.forest_predict(m, forest.forest_fit(m))
@@ -476,7 +489,7 @@ def batch_forecast(spark, sf):
     m = _fitted_matrix(spark, sf)
     t, (_, end) = F.col("valid_time"), splits.day_range(m)
     fit_end, day = end - dt.timedelta(days=7), end - dt.timedelta(days=2)
-    config = training.TrainConfig(slots=zoneboost.capped(), lear_min_rows=LEAR_ROWS)
+    config = training.TrainConfig(slots=GBT_SLOTS, lear_min_rows=LEAR_ROWS)
     window = m.where((t >= F.lit(fit_end)) & (t < F.lit(day)))
     models = training.calibrate_and_blend(training.fit_base(m.where(t < F.lit(fit_end)), config), window)
     requests = m.select("zone").distinct().withColumn("date", F.lit(day).cast("date"))
@@ -553,7 +566,8 @@ QUERIES = {
         walk_forward_folds, conformal_fit, conformal_apply, quantile_ordering, base_predictions, ridge_stack,
         stack_predict, recency_weights, weighted_quantiles, train_val_split, expanding_blocks, calendar_split, label_coverage,
         promotion_history, run_delta, retrain_gate, threshold_alerts, drift_report, training_rows,
-        target_encoding, walk_forward, walk_forward_lear, lear_models, lear_forecast, quantile_gbt, boosted_leaves, quantile_forest, contributions,
+        target_encoding, walk_forward, walk_forward_lear, lear_models, lear_forecast, quantile_gbt, boosted_leaves,
+        boosted_two_levels, quantile_forest, contributions,
         batch_forecast, normalize_prices, normalize_load, normalize_generation, normalize_crossborder, normalize_weather,
         weather_wide, holiday_flags, scan_window, explorer_window, naive_mae, any_drift, spike_hours,
     ]

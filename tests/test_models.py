@@ -162,7 +162,7 @@ def test_model_table_join(spark):
 
 def test_training_end_to_end(spark, matrix, tmp_path):
     end = dt.datetime(2025, 1, 1) + dt.timedelta(hours=1500)
-    config = training.TrainConfig(slots=SLOTS, cal_days=20, test_days=8, min_labelled=720, lear_min_rows=30)
+    config = training.TrainConfig(slots=SLOTS, fit_slots=zoneboost.fit_slots, cal_days=20, test_days=8, min_labelled=720, lear_min_rows=30)
     models, report = training.train(matrix, end, config)
     rows = by(report, "zone", "model")
     assert set(rows) == {(z, m) for z in "ab" for m in ("lgbm", "xgb", "cat", "ens", "lear")}

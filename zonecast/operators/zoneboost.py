@@ -28,6 +28,10 @@ MODEL = ("zone string, prefix string, quantile string, base double, rate double,
          "codes array<struct<name:string,code:int,mean:double>>, prior double")
 
 
+#: Models sent to a task at a time.
+MODEL_BYTES = 64 << 20
+
+
 @dataclass
 class BoostSettings:
     """Defaults of the first slot; ``XGB`` and ``CAT`` are the other two."""
@@ -243,33 +247,57 @@ def scores(x: np.ndarray, model) -> np.ndarray:
 def predict(matrix: DataFrame, models: DataFrame, prefixes: Sequence[str] = ("lgbm",)) -> DataFrame:
     """``zone, valid_time`` and the quantiles of every slot for each row: null where a feature or the zone's model is missing.
 
-    A zone's rows meet all its models once.
+    Rows are scored where they lie, without a shuffle. Models travel to the tasks, as many zones at a time as
+    ``MODEL_BYTES`` allows; more zones take further passes over the rows.
     """
     used = models.where(F.col("prefix").isin(list(prefixes)))
-    names = sorted(r.n for r in used.select(F.explode("names").alias("n")).distinct().collect())
+    sizes = used.groupBy("zone").agg(
+        F.sum(F.size("feature") * 28 + F.size("codes") * 64 + 4096).alias("bytes"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names")).orderBy("zone").collect()
+    names = sorted({n for r in sizes for n in r["names"]})
     inputs = [c for c in dict.fromkeys([*names, *[n.removesuffix("_target") for n in names]]) if c in matrix.columns]
     rows = matrix.select("zone", "valid_time", *[F.col(c).cast("double").alias(c) for c in inputs])
     outputs = [f"{p}_{q}" for p in prefixes for q in QUANTILES]
-
-    def one(zone_rows: pd.DataFrame, zone_models: pd.DataFrame) -> pd.DataFrame:
-        out = zone_rows[["zone", "valid_time"]].copy()
-        for name in outputs:
-            out[name] = np.nan
-        for _, m in zone_models.iterrows():
-            data = zone_rows.copy()
-            for c in {k["name"] for k in m["codes"]}:
-                means = {k["code"]: k["mean"] for k in m["codes"] if k["name"] == c}
-                data[f"{c}_target"] = data[c].map(means).fillna(m["prior"]).where(data[c].notna())
-            x = data[list(m["names"])].to_numpy(float)
-            good = ~np.isnan(x).any(1)
-            column = np.full(len(x), np.nan)
-            column[good] = scores(x[good], m)
-            out[f"{m['prefix']}_{m['quantile']}"] = column
-        return out
-
-    got = rows.groupBy("zone").cogroup(used.groupBy("zone")).applyInPandas(
-        one, "zone string, valid_time timestamp, " + ", ".join(f"{o} double" for o in outputs))
-    return got.select("zone", "valid_time", *[F.when(~F.isnan(o), F.col(o)).alias(o) for o in outputs])
+    batches, room = [], 0
+    for r in sizes:
+        if r["bytes"] > room:
+            batches.append([])
+            room = MODEL_BYTES
+        batches[-1].append(r["zone"])
+        room -= r["bytes"]
+    known = F.coalesce(F.col("zone").isin([r["zone"] for r in sizes]), F.lit(False)) if sizes else F.lit(False)
+    got = rows.where(~known).select("zone", "valid_time", *[F.lit(None).cast("double").alias(o) for o in outputs])
+    for batch in batches:
+        sent = matrix.sparkSession.sparkContext.broadcast(used.where(F.col("zone").isin(batch)).toPandas())
+        scored = rows.where(F.col("zone").isin(batch)).mapInPandas(
+            _scorer(sent, outputs), "zone string, valid_time timestamp, " + ", ".join(f"{o} double" for o in outputs))
+        got = got.unionByName(scored.select("zone", "valid_time", *[F.when(~F.isnan(o), F.col(o)).alias(o) for o in outputs]))
+    return got
+
+
+def _scorer(sent, outputs: Sequence[str]):
+    """Function over batches of rows that applies the models of each zone to its rows."""
+
+    def score(batches):
+        by_zone = {z: m for z, m in sent.value.groupby("zone")}
+        for rows in batches:
+            out = rows[["zone", "valid_time"]].copy()
+            for name in outputs:
+                out[name] = np.nan
+            for zone, at in rows.groupby("zone").indices.items():
+                data = rows.iloc[at].copy()
+                for _, m in by_zone[zone].iterrows():
+                    for c in {k["name"] for k in m["codes"]}:
+                        means = {k["code"]: k["mean"] for k in m["codes"] if k["name"] == c}
+                        data[f"{c}_target"] = data[c].map(means).fillna(m["prior"]).where(data[c].notna())
+                    x = data[list(m["names"])].to_numpy(float)
+                    good = ~np.isnan(x).any(1)
+                    column = np.full(len(x), np.nan)
+                    column[good] = scores(x[good], m)
+                    out.iloc[at, out.columns.get_loc(f"{m['prefix']}_{m['quantile']}")] = column
+            yield out
+
+    return score
 
 
 def importance(models: DataFrame) -> DataFrame:

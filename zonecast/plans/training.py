@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonecast.operators import calibrate, lear, metrics, monitor, splits, stack, zoneboost
+from zonecast.operators import calibrate, histboost, lear, metrics, monitor, splits, stack, zoneboost
 from zonecast.operators.modeltable import attach
 from zonecast.session import materialize, run_together
 from zonecast.sources import bitemporal, dims
@@ -20,7 +20,9 @@ QUANTILES = stack.QUANTILES
 
 @dataclass
 class TrainConfig:
-    slots: dict[str, zoneboost.BoostSettings] = field(default_factory=lambda: dict(zoneboost.SLOTS))
+    slots: dict[str, zoneboost.BoostSettings] = field(default_factory=lambda: dict(histboost.SLOTS))
+    #: ``zoneboost.fit_slots`` instead fits each zone in one task: for short histories and many rounds.
+    fit_slots: Callable[..., DataFrame] = histboost.fit_slots
     cal_days: int = 90
     test_days: int = 30
     min_labelled: int = 720
@@ -82,7 +84,7 @@ def long_form(wide: DataFrame, models: Sequence[str], keep: Sequence[str] = ())
 
 def fit_base(train: DataFrame, config: TrainConfig) -> TrainedModels:
     return TrainedModels(*run_together([
-        lambda: materialize(zoneboost.fit_slots(train, config.slots)),
+        lambda: materialize(config.fit_slots(train, config.slots)),
         lambda: lear.lear_fit(train, features=config.lear_features, min_rows=config.lear_min_rows),
     ]))
 
