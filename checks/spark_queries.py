@@ -391,7 +391,7 @@ def training_rows(spark, sf):
     return out(rows.select("zone", "valid_time", "price", "price_lag336h", "temp_x_hour"))
 
 
-# --- fitted models at library defaults; the tables hold one month, so validation is capped and LEAR asks for fewer rows ---
+# --- fitted models at library defaults; the tables hold one month, so validation is capped, LEAR asks for fewer rows and boosting takes few rounds ---
 
 LEAR_ROWS = 10
 
