@@ -227,6 +227,7 @@ def build_features(
     warmup_hours: int = 0,
     gate_safe: bool = False,
     block_hours: int = DEFAULT_BLOCK_HOURS,
+    bounds: DataFrame | None = None,
     **holiday_options,
 ) -> DataFrame:
     """Feature matrix for every hour in ``[start, end)`` of every zone.
@@ -234,13 +235,15 @@ def build_features(
     Inputs, each unique per ``(zone, valid_time)``: ``price`` (price), ``weather`` (temperature, wind_speed,
     irradiance), ``generation`` (wind_mw, solar_mw), ``load`` (value_mw or load_mw); ``flows`` are raw edges.
     ``warmup_hours`` reads that much history before ``start`` so the first lags are filled (0 keeps lags inside the
-    window). ``gate_safe`` nulls the 23 h lag at hour 23, which reads the delivery day itself.
+    window). ``gate_safe`` nulls the 23 h lag at hour 23, which reads the delivery day itself. ``bounds`` (``zone, lo,
+    hi``) gives each zone an axis of its own; ``flows`` may be net already (``zone, valid_time, net_exchange_mw``).
     """
     first = None
     if start is not None:
         first = _ts(start) - F.make_interval(hours=F.lit(warmup_hours)) if warmup_hours else _ts(start)
     parts = [_between(price.select("zone", "valid_time", F.col("price").cast("double").alias("price")), first, end)]
-    bounds = zone_bounds(parts[0], first, end, zones)
+    if bounds is None:
+        bounds = zone_bounds(parts[0], first, end, zones)
     carry = fill = None
     if weather is not None:
         fill = [c for c in WEATHER_COLS if c in weather.columns]
@@ -254,7 +257,8 @@ def build_features(
         mw = "load_mw" if "load_mw" in load.columns else "value_mw"
         parts.append(_between(load.select("zone", "valid_time", F.col(mw).alias("load_mw")), first, end))
     if flows is not None:
-        parts.append(net_exchange(_between(flows, first, end)))
+        flows = _between(flows, first, end)
+        parts.append(flows if "net_exchange_mw" in flows.columns else net_exchange(flows))
 
     values = ["price", *WEATHER_COLS, *GRID_COLS]
     dense = dense_blocks(bounds, parts, values, LONGEST_FRAME, block_hours, carry, fill)

@@ -16,6 +16,7 @@ from zonecast.sources import bitemporal, dims
 
 BASE = stack.BASE_MODELS
 QUANTILES = stack.QUANTILES
+STORED_SERIES = {f"{m}_{q}": dims.SERIES[f"{m}_{q}"] for m in ("lgbm", "lear") for q in QUANTILES}
 
 
 @dataclass
@@ -140,8 +141,7 @@ def forecasts_to_store(models: TrainedModels, matrix: DataFrame, knowledge_time,
     """Calibrated LGBM and LEAR quantiles as versions under one knowledge time, nulls dropped."""
     wide = lear.lear_predict(matrix, models.lear, lear_features).select("zone", "valid_time", *[f"lear_{q}" for q in QUANTILES])
     base = models.base_predictions(matrix).select("zone", "valid_time", *[f"lgbm_{q}" for q in QUANTILES])
-    series = {f"{m}_{q}": dims.SERIES[f"{m}_{q}"] for m in ("lgbm", "lear") for q in QUANTILES}
-    return bitemporal.forecasts_to_versions(base.join(wide, ["zone", "valid_time"]), series, knowledge_time)
+    return bitemporal.forecasts_to_versions(base.join(wide, ["zone", "valid_time"]), STORED_SERIES, knowledge_time)
 
 
 def register(history: DataFrame, report: DataFrame, version: int, model: str = "ens") -> DataFrame:
