@@ -496,3 +496,18 @@ ORACLE = {
     "any_drift": f"WITH {TAIL} SELECT count(*) > 0 AS any_drift FROM alerts",
     "spike_hours": f"WITH {S} SELECT zone, valid_time, {r('price')} AS price FROM s WHERE price > 100",
 }
+
+_PRICE_VIEW = [f"price_lag{h}h" for h in LAGS] + ["price_roll24h_mean", "price_roll168h_mean", "price_roll168h_std", "price_roll720h_std"]
+_GRID_VIEW = ["temperature_2m", "wind_speed_10m", "solar_radiation", "temp_x_wind", "temp_x_hour", "wind_mw", "solar_mw", "load_mw", "net_exchange_mw"]
+
+
+def fresh(alias: str, cols, age: str) -> str:
+    return ", ".join(f"CASE WHEN e.ts - {alias}.t <= INTERVAL {age} THEN {alias}.{c} END AS {c}" for c in cols)
+
+
+ORACLE["feature_service"] = f"""WITH {EV}, fv AS ({ORACLE['feature_views']}), a AS (SELECT *, valid_time AS t FROM fv),
+ g AS (SELECT *, valid_time + INTERVAL 90 MINUTE AS t FROM fv WHERE temperature_2m IS NOT NULL AND hour(valid_time) % 3 = 0)
+ SELECT e.event_id, e.zone, e.ts AS valid_time, {r('e.value')} AS price, {fresh('p', _PRICE_VIEW, '30 DAY')},
+ {fresh('c', calendar(), '30 MINUTE')}, {fresh('g', _GRID_VIEW, '4 HOUR')}
+ FROM ev e ASOF LEFT JOIN a p ON e.zone = p.zone AND e.ts >= p.t ASOF LEFT JOIN a c ON e.zone = c.zone AND e.ts >= c.t
+ ASOF LEFT JOIN g ON e.zone = g.zone AND e.ts >= g.t"""

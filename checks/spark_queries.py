@@ -168,6 +168,16 @@ def pit_join_ttl(spark, sf):
     return out(pit.point_in_time_join(ents, feats, ["last_price"], ttl_hours=1))
 
 
+def feature_service(spark, sf):
+    """All features of the three views for every event, each view with its own times and time-to-live."""
+    ents, _ = _pit_inputs(spark, sf)
+    rows = gold.select_views(materialize(R.matrix(spark, sf)))
+    grid = rows.where("temperature_2m IS NOT NULL AND hour(valid_time) % 3 = 0").withColumn("known", F.expr("valid_time + INTERVAL 90 MINUTES"))
+    views = [pit.View(rows, gold.VIEWS["price_features"]), pit.View(rows, gold.VIEWS["calendar_features"], ttl_hours=0.5),
+             pit.View(grid, gold.VIEWS["grid_weather_features"], ttl_hours=4, time="known")]
+    return out(pit.service_join(ents, views))
+
+
 def online_latest(spark, sf):
     _, feats = _pit_inputs(spark, sf)
     asked = R.events(spark, sf).select("zone").distinct().unionByName(
@@ -559,7 +569,7 @@ QUERIES = {
         hourly_series, spine_reindex, price_lags, rolling_stats, calendar_features, weather_ffill, feature_matrix,
         inference_slice, silver_generation, silver_load, silver_crossborder, net_exchange, imports_exports, dq_prices,
         dq_weather, dq_generation, dq_silver_load, read_latest, read_latest_wide, read_versions, read_as_of,
-        read_relative, provenance, retention, pit_join, pit_join_ttl, online_latest, feature_views, metric_bundle,
+        read_relative, provenance, retention, pit_join, pit_join_ttl, feature_service, online_latest, feature_views, metric_bundle,
         point_metrics, baseline_pinball, holdout_metrics, mae_by_hour, daily_mae, error_histogram, price_statistics,
         forecast_kpis, last_forecasts, spike_analysis, backtest_table, backtest_kpis, stored_vs_live, model_comparison,
         period_breakdown, prefer_stored, crps, reliability, fold_metrics, fold_summary, fold_reliability,

@@ -183,6 +183,13 @@ def dq_silver_generation(spark, sf):
     return out(quality.check_silver(exchange.fuel_totals(wide), "silver_generation"))
 
 
+def silver_generation_rows(spark, sf):
+    """The values that ``dq_silver_generation`` checks: total, wind and solar per hour and zone."""
+    from zonecast.operators import exchange
+
+    return out(exchange.fuel_totals(bronze.normalize_generation(R.fuel_long(spark, sf), list(R.FUELS.values()))))
+
+
 def dq_silver_crossborder(spark, sf):
     return out(quality.check_silver(silver.silver_crossborder(R.region_flows(spark, sf)), "silver_crossborder"))
 
@@ -190,7 +197,8 @@ def dq_silver_crossborder(spark, sf):
 QUERIES = {f.__name__: f for f in [
     bronze_days, stored_versions, retained_versions, write_once_runs, retained_months, persisted_forecasts, served_forecasts,
     silver_table, gold_table, gold_refreshed, csv_table, json_reports, zone_lookup,
-    inference_rows, valid_requests, display_forecast, aligned_pairs, dq_silver_generation, dq_silver_crossborder,
+    inference_rows, valid_requests, display_forecast, aligned_pairs, dq_silver_generation, silver_generation_rows,
+    dq_silver_crossborder,
 ]}
 
 _r, _rr, _S = Q.r, Q.rr, Q.S
@@ -201,6 +209,12 @@ _pairs = [(m, q) for m in ("lgbm", "lear") for q in ("q05", "q50", "q95")]
 _six = ", ".join(f"max({q}) FILTER (WHERE model = '{m}') AS {m}_{q}" for m, q in _pairs)
 _ens = ", ".join("{'sid': %d, 'v': %s}" % (dims.SERIES[f"ens_{q}"], q) for q in ("q05", "q50", "q95"))
 
+
+
+def _fuel_sum(names):
+    return " + ".join(f'coalesce("{n}", 0)' for n in names)
+
+
 ORACLE = {
     "bronze_days": f"""WITH {_S}, f AS (SELECT CAST(min(valid_time) AS DATE) AS d FROM s)
  SELECT zone, valid_time, {_r('price + CASE WHEN CAST(valid_time AS DATE) = d + 5 THEN 1000 ELSE 0 END')} AS value FROM s, f
@@ -232,10 +246,12 @@ ORACLE = {
     "valid_requests": """SELECT DISTINCT o_custkey::VARCHAR AS zone, o_orderdate::DATE::VARCHAR AS date, o_orderdate::DATE >= DATE '1998-03-05' AS valid FROM orders""",
     "display_forecast": f"WITH {Q.ONE} SELECT zone, valid_time, {_rr(['q05', 'q50', 'q95'], 2)} FROM one",
     "aligned_pairs": f"WITH {Q.ONE} SELECT zone, valid_time, {_rr(['y', 'q05', 'q50', 'q95'])} FROM one WHERE y IS NOT NULL AND q50 IS NOT NULL",
-    "dq_silver_generation": f"""WITH {Q.FUEL}, t AS (SELECT valid_time, zone, 0 AS total_mw FROM fuel) """ + Q.quality("t", "silver_generation", [
+    "dq_silver_generation": f"""WITH {Q.FUEL}, t AS (SELECT valid_time, zone, {_fuel_sum(R.FUELS.values())} AS total_mw, {_fuel_sum(['Wind Onshore'])} AS wind_mw,
+ {_fuel_sum(['Solar'])} AS solar_mw FROM fuel) """ + Q.quality("t", "silver_generation", [
         *[(c, "exists", "0") for c in quality.SILVER_NOT_NULL["silver_generation"]],
-        *[(c, "not_null", Q.failing("t", f"{c} IS NULL")) for c in ("valid_time", "zone")],
-        *[(c, "not_null", "0") for c in ("total_mw", "wind_mw", "solar_mw")]]),
+        *[(c, "not_null", Q.failing("t", f"{c} IS NULL")) for c in quality.SILVER_NOT_NULL["silver_generation"]]]),
+    "silver_generation_rows": f"""WITH {Q.FUEL} SELECT valid_time, zone, {_r(_fuel_sum(R.FUELS.values()))} AS total_mw,
+ {_r(_fuel_sum(['Wind Onshore']))} AS wind_mw, {_r(_fuel_sum(['Solar']))} AS solar_mw FROM fuel""",
     "dq_silver_crossborder": f"WITH {Q.RFLOW} " + Q.quality("rf", "silver_crossborder", [
         *[(c, "exists", "0") for c in quality.SILVER_NOT_NULL["silver_crossborder"]],
         *[(c, "not_null", Q.failing("rf", f"{c} IS NULL")) for c in quality.SILVER_NOT_NULL["silver_crossborder"]]]),

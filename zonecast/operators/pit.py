@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,6 +60,52 @@ def point_in_time_join(
     return out.select(*entities.columns, *[F.when(fresh, F.col(f"_f.{c}")).alias(c) for c in feature_cols])
 
 
+@dataclass
+class View:
+    """Feature rows ``key, time, *cols`` that an entity may read up to ``ttl_hours`` after their time."""
+
+    rows: DataFrame
+    cols: Sequence[str]
+    ttl_hours: float = TTL_HOURS
+    time: str = "valid_time"
+
+
+def service_join(entities: DataFrame, views: Sequence[View], key: str = "zone", time: str = "valid_time",
+                 block_hours: int = BLOCK_HOURS) -> DataFrame:
+    """Each entity row with the newest row of every view at or before its time, each within the view's own TTL.
+
+    All views and the distinct entity times are stacked, shuffled once by ``(key, block)`` and resolved by one window
+    that keeps a struct per view; a block begins with one carried row that holds the newest struct of every view. So
+    the work is that of one join, however many views there are. Of rows with equal times the largest counts (by the
+    view's columns in order). Entities without a key or time get nulls.
+    """
+    states = [f"_f{i}" for i in range(len(views))]
+    times = entities.select(key, F.col(time).alias("_ask")).where(F.col(key).isNotNull() & F.col("_ask").isNotNull()).distinct()
+    stacked = times.withColumn("_who", F.lit(1))
+    for f, v in zip(states, views):
+        row = F.struct(F.col(v.time).alias("_feature_time"), *v.cols).alias(f)
+        stacked = stacked.unionByName(v.rows.select(key, F.col(v.time).alias("_ask"), row, F.lit(0).alias("_who")), allowMissingColumns=True)
+    stacked = stacked.where(F.col("_ask").isNotNull()).withColumn(BLOCK, block_of("_ask", block_hours))
+    before = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = stacked.groupBy(key, BLOCK).agg(*[F.max(f).alias(f) for f in states]).withColumns(
+        {f: F.last(f, ignorenulls=True).over(before) for f in states} | {"_who": F.lit(-1)}
+    )
+    # the carried row has no time and sorts first; rows of a view at one time stand in their own order, the asking time last
+    upto = Window.partitionBy(key, BLOCK).orderBy("_ask", "_who", *states).rowsBetween(Window.unboundedPreceding, 0)
+    resolved = (
+        stacked.unionByName(carried, allowMissingColumns=True)
+        .withColumns({f"{f}_seen": F.last(f, ignorenulls=True).over(upto) for f in states})
+        .where("_who = 1")
+        .select(key, F.col("_ask").alias(time), *[F.col(f"{f}_seen").alias(f) for f in states])
+    )
+    out = entities.join(resolved, [key, time], "left")
+    read = []
+    for f, v in zip(states, views):
+        age = F.unix_micros(F.col(time)) - F.unix_micros(F.col(f"{f}._feature_time"))
+        read += [F.when(age <= int(v.ttl_hours * 3_600_000_000), F.col(f"{f}.`{c}`")).alias(c) for c in v.cols]
+    return out.select(*entities.columns, *read)
+
+
 def latest_rows(features: DataFrame, feature_cols: Sequence[str], key: str = "zone", time: str = "valid_time") -> DataFrame:
     """Newest feature row per key: one aggregation, combined on the map side."""
     newest = features.groupBy(key).agg(F.max(F.struct(time, *feature_cols)).alias("_r"))
