@@ -51,6 +51,36 @@ def test_an_inserted_word_moves_the_votes_to_a_near_diagonal(spark, documents):
     assert [(r.label, r.start, r.stop) for r in spans] == [("mit", 2, 23)]
 
 
+NOTICES = {
+    "released under the standard mit license": "mit", "Released under an MIT license.": "mit", "the mit license": "",
+    "released under the apache license": "", "licensed under the cc by 4 0": "cc-by-4.0", "licensed under CC BY-SA 4.0": "cc-by-sa-4.0",
+    "licensed under CC BY-NC-SA 4.0": "", "licensed under cc by nd 4 0": "", "licensed under cc by 3 0": "",
+    "licensed under the GNU General Public License, version 3": "gpl-3.0",
+    "licensed under the terms of the gnu general public license version 3": "gpl-3.0",
+    "licensed under the gnu lesser general public license version 3": "", "licensed under the gnu affero general public license version 3": "",
+    "licensed under the gnu general public license version 2": "", "licensed under the mit license version 2 0": "",
+    "licensed under the apache software license version 2 0": "apache-2.0", "licensed under the apache license version 1 1": "",
+}
+
+
+def test_one_broken_place_and_deciding_words(spark, documents):
+    texts = list(NOTICES)
+    got = {r.doc_id: r for r in L.report(documents([f"x {t} by y" for t in texts])).collect()}
+    assert {t: ",".join(x for x in got[i].labels.split(",") if x not in ("cc-by", "gpl", "reserved")) for i, t in enumerate(texts)} == NOTICES
+    assert all((got[i].score > 0) == bool(got[i].labels) for i in got)
+
+
+def test_sql_reads_broken_notices_alike(spark, documents):
+    import duckdb
+
+    docs = documents([*NOTICES, *[t for t in TEXTS if t is None or "K" not in t]])
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    cur = con.execute(L.ORACLE)
+    df = L.report(docs)
+    assert difference((df.columns, [tuple(r) for r in df.collect()]), ([c[0] for c in cur.description], cur.fetchall())) is None
+
+
 def test_same_as_sql(spark):
     from zonecast.llm.queries import op6_license_scan
 
