@@ -66,6 +66,76 @@ def test_labels_of_held_out_rows_are_never_read(spark):
         before = got
 
 
+def rare_words(n):
+    """Texts of which every fourth is toxic by one of 30 words; each of these is in some ten texts."""
+    rng = random.Random(4)
+    return [(text + (f" {rng.randrange(30):02d}grumbl" if i % 4 == 0 else ""), i % 4 == 0)
+            for i, (text, _) in enumerate((" ".join(rng.choices(["calm", "sea", "and", "wind"], k=9)), 0) for _ in range(n))]
+
+
+def tables(spark, data):
+    docs = spark.createDataFrame([(i, t, "en" if i % 3 else "de") for i, (t, _) in enumerate(data)], "doc_id long, text string, lang string")
+    return docs, spark.createDataFrame([(i, None, int(x)) for i, (_, x) in enumerate(data)], LABELS)
+
+
+def test_learns_from_every_labelled_row(spark):
+    data = rare_words(1200)
+    docs, labels = tables(spark, data)
+    rows = T.report(docs, labels, 40).collect()  # 40 rows of either class know few of the words
+    held = [r for r in rows if r.held_out]
+    toxic = [r.predicted for r in held if data[r.doc_id][1]]
+    calm = [r.predicted for r in held if not data[r.doc_id][1]]
+    assert len(toxic) > 40 and np.mean(toxic) > 0.9 and np.mean(calm) < 0.1
+
+
+def test_every_labelled_row_is_in_one_shard_however_rows_are_dealt(spark):
+    data = rare_words(130)
+    docs, labels = tables(spark, data)
+    docs = docs.union(docs.where("doc_id = 8 or doc_id % 50 = 7")).union(docs.limit(1).selectExpr("null", "text", "null"))
+    docs = docs.union(docs.where("doc_id = 8").select("doc_id", "text", F.explode(F.array_repeat("lang", 30)).alias("lang")))
+    labels = labels.union(spark.createDataFrame([(999, 1, 1), (None, 1, 1), (3, 1, None), (5, 1, 7)], LABELS))
+    fitted, keep = F.col("doc_id") % 10 != 0, spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for parts, width in ((1, "3"), (7, "50")):
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+            found.append([r.asDict() for r in T.shards(docs.repartition(parts), labels, fitted, 10).orderBy("part").collect()])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", keep)
+    assert found[0] == found[1] and len(found[0]) > 10 and max(len(r["y"]) for r in found[0]) <= 20
+    ids = [r.doc_id for r in docs.collect() if r.doc_id is not None and r.doc_id % 10 and r.doc_id != 5]
+    got = [(w.tobytes(), y) for r in found[0] for (w, _), y in zip(*T._texts(r)[:2])]
+    hashed = [(T.hashed_words([data[i][0].encode()])[0].astype(np.uint16).tobytes(), float(data[i][1])) for i in ids]
+    assert sorted(got) == sorted(hashed) and all(len(r["langs"]) == len(r["y"]) for r in found[0])
+
+
+def test_one_shard_is_training_in_sequence_and_thresholds_see_all_kept_rows(spark):
+    data = [(t + (" 07grumbl" if i % 9 == 1 else ""), x) for i, (t, x) in enumerate(rare_words(400))]
+    docs, labels = tables(spark, data)
+    one, many = (T.shards(docs, labels, F.lit(True), n) for n in (400, 50))
+    total = T.totals(one)[1]
+    other = T.totals(many)[1]
+    assert (total.rows, total.toxic) == (other.rows, other.toxic) == (400, 100)
+    assert all(np.array_equal(a, b) for a, b in zip(total.often, other.often))
+    texts, y, _ = T._texts(one.collect()[0].asDict())
+    learner, rng = T.Learner(7), np.random.default_rng(7)
+    for _ in range(3):
+        learner.learn(texts, y, np.where(y == 1, 2.0, 0.5 / 0.75), total.often, rng.permutation(len(y)), 64, 0.02)
+    net = T.train(one, total, rounds=3)
+    assert np.array_equal(net.words, learner.network.words) and np.array_equal(net.out, learner.network.out)
+    kept = []
+    for r in (r.asDict() for r in many.collect()):
+        texts, y, held = T._texts(r)
+        kept += [(g, p, t) for g, p, t, h in zip(r["langs"], net.score(*(np.concatenate([x[k] for x in texts]) for k in (0, 1)),
+                                                 np.array([len(x[0]) for x in texts])), y, held) if h]
+    cuts = T.thresholds(many, net, 1)
+    assert set(cuts) == {g for g, _, t in kept if t} and len(kept) > 60
+    for lang, cut in cuts.items():
+        p, t = np.array([p for g, p, _ in kept if g == lang]), np.array([t for g, _, t in kept if g == lang])
+        f1 = {c: 2 * t[p >= c].sum() / max(1, (p >= c).sum() + t.sum()) for c in np.unique(np.round([0.5, *p], 3))}
+        assert f1[cut] >= max(f1.values()) - 1e-9 and abs(cut - 0.5) == min(abs(c - 0.5) for c, f in f1.items() if f >= max(f1.values()) - 1e-9)
+
+
 def test_edges(spark, documents):
     docs = documents([None, "", "x" * 100_000, "a b"]).union(documents([(3, "a b"), (None, "n")]))
     docs = docs.withColumn("lang", F.when(F.col("doc_id") == 3, None).otherwise(F.col("lang")))
